@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ["split", "repeated_lines", "encode", "leakage"]
+NAMES = ["split", "language", "repeated_lines", "encode", "leakage"]
 
 
 def modules() -> list:
