@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ["split", "language", "repeated_lines", "encode", "leakage", "truncation"]
+NAMES = ["boilerplate", "split", "language", "repeated_lines", "encode", "leakage", "truncation"]
 
 
 def modules() -> list:
