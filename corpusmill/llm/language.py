@@ -174,8 +174,8 @@ def fit(texts: dict[str, list[str]]) -> WordModel:
     return model
 
 
-def train(rows: DataFrame, rows_each: int = TRAIN_ROWS) -> WordModel:
-    """A model of ``rows`` (id, label, text): for each language about ``rows_each`` labelled rows, the same at every run."""
+def training_texts(rows: DataFrame, rows_each: int = TRAIN_ROWS) -> dict[str, list[str]]:
+    """Texts of ``rows`` (id, label, text) by language: of each about ``rows_each`` labelled rows, the same at every run."""
     labelled = rows.select("id", label_language(F.col("label")).alias("lang"), "text").where("lang in ('ka', 'en', 'de') and text is not null")
     counts = dict(labelled.groupBy("lang").count().collect())
     draw = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
@@ -185,7 +185,12 @@ def train(rows: DataFrame, rows_each: int = TRAIN_ROWS) -> WordModel:
     texts: dict[str, list[str]] = {}
     for row in labelled.where(chosen).orderBy("id").toLocalIterator():
         texts.setdefault(row.lang, []).append(row.text)
-    return fit(texts)
+    return texts
+
+
+def train(rows: DataFrame, rows_each: int = TRAIN_ROWS) -> WordModel:
+    """A model fitted on ``training_texts``."""
+    return fit(training_texts(rows, rows_each))
 
 
 def page_languages(pages: DataFrame, model: WordModel) -> DataFrame:

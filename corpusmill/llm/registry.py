@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ["boilerplate", "split", "language", "alignment", "repeated_lines", "encode", "leakage", "truncation"]
+NAMES = ["boilerplate", "split", "language", "alignment", "repeated_lines", "encode", "leakage", "truncation", "reading"]
 
 
 def modules() -> list:
