@@ -108,8 +108,9 @@ def orphan_references(sources: list[ReferenceSource], parents: DataFrame, deleti
 
     spark = parents.sparkSession
     total = named.count()
-    hot_rows = suspect.where(F.col("n") * HOT_SHARE > F.lit(total)).select("key", "missing", "born", "died").collect()
-    hot = spark.createDataFrame(hot_rows, "key bigint, missing boolean, born timestamp, died timestamp")
+    hot_part = suspect.where(F.col("n") * HOT_SHARE > F.lit(total)).select("key", "missing", "born", "died")
+    hot_rows = hot_part.collect()
+    hot = spark.createDataFrame(hot_rows, hot_part.schema)
     rest = suspect.where(F.col("n") * HOT_SHARE <= F.lit(total)).select("key", "missing", "born", "died")
     hot_keys = [row.key for row in hot_rows]
     joined = named.where(~F.col("key").isin(hot_keys)).join(rest, "key")
