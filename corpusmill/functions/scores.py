@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,10 +22,15 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (size > 0), dot(a, b) / size).otherwise(0.0)
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed a single time, however often ``then`` uses it, in loops too."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def normalized(a: Column) -> Column:
     """The vector at length 1, so that a dot product is the cosine."""
-    length = norm(a)
-    return F.transform(a, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(0.0))
+    scaled = lambda v: F.transform(v["a"], lambda x: F.when(v["n"] > 0, x.cast("double") / v["n"]).otherwise(0.0))
+    return once(a, lambda v: once(F.struct(v.alias("a"), norm(v).alias("n")), scaled))
 
 
 def age_days(at: Column, now: Column) -> Column:
