@@ -168,9 +168,12 @@ def fit(texts: dict[str, list[str]]) -> WordModel:
         size = {lang: sum(g.values()) + 0.5 * (len(every) + 1) for lang, g in grams.items()}
         logs = {lang: {g: math.log((n + 0.5) / size[lang]) for g, n in own.items()} for lang, own in grams.items()}
         floor = {lang: math.log(0.5 / s) for lang, s in size.items()}
-        table_ = {g: tuple(logs[lang].get(g, floor[lang]) for lang in ("ka", "en", "de")) for g in every}
         level = min(floor.values())
-        model = WordModel(table_, (level, level, level))
+        for lang, own in grams.items():
+            if not own:  # never seen, so never likely
+                logs[lang], floor[lang] = {}, level - 2.0
+        table_ = {g: tuple(logs[lang].get(g, floor[lang]) for lang in ("ka", "en", "de")) for g in every}
+        model = WordModel(table_, tuple(level if grams[lang] else level - 2.0 for lang in ("ka", "en", "de")))
     return model
 
 

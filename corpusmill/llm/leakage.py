@@ -60,20 +60,38 @@ def longest_span(item: list[int], doc: list[int], at: int, place: int, every: in
             n, i, p = n + 1, i + step, p + step
         return n
 
-    def beyond(i: int, p: int, step: int) -> int:
+    known: dict[tuple[int, int, int], int] = {}
+
+    def edited(i: int, p: int, step: int) -> int:
+        """The most words beyond an edit at item[i], doc[p]; 0 if none follows it."""
         best = 0
         for di, dp in ((1, 1), (1, 0), (0, 1)):
             j, q = i + di * step, p + dp * step
-            run = same(j, q, step)
-            if run:
-                more = beyond(j + run * step, q + run * step, step) if run >= every - 1 else 0
-                best = max(best, di + run + more)
+            if 0 <= j < len(item) and 0 <= q < len(doc) and item[j] == doc[q]:
+                best = max(best, di + after(j, q, step))
         return best
 
+    def after(i: int, p: int, step: int) -> int:
+        """The most words from the intact word item[i], doc[p] on, if an edit comes just before it."""
+        if (i, p, step) not in known:
+            run = known[i, p, step] = same(i, p, step)
+            for n in range(every - 1, run + 1):
+                more = edited(i + n * step, p + n * step, step)
+                if more:
+                    known[i, p, step] = max(known[i, p, step], n + more)
+        return known[i, p, step]
+
     right, left = same(at, place, 1), same(at - 1, place - 1, -1)
-    run = left + right
-    ahead, behind = beyond(at + right, place + right, 1), beyond(at - left - 1, place - left - 1, -1)
-    return run + (ahead + behind if run >= every - 1 else max(ahead, behind))
+    ahead = [edited(at + n, place + n, 1) if n else 0 for n in range(right + 1)]
+    behind = [edited(at - 1 - n, place - 1 - n, -1) for n in range(left + 1)]
+    best = right + left
+    for n, more in enumerate(ahead):
+        if more:
+            best = max(best, left + n + more)
+    for n, more in enumerate(behind):
+        if more:
+            best = max(best, right + n + more, *(n + more + m + other for m, other in enumerate(ahead) if other and n + m >= every - 1))
+    return best
 
 
 def _match_block(documents: DataFrame, items: dict[int, list[str]]) -> DataFrame:
