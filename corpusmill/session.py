@@ -27,10 +27,11 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     return spark
 
 
-def tune(spark: SparkSession, records: int = 2048) -> None:
-    """Bound the Arrow batches, so that a batch of long texts fits beside the executor's heap."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > records:
+def tune(spark: SparkSession, records: int = 2048, size: int = 32 << 20) -> None:
+    """Bound the Arrow batches in rows and bytes, so that a batch of long texts fits beside the executor's heap."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= records:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def shared_dir(spark: SparkSession) -> str:
