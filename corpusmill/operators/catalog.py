@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import scores, text
+from corpusmill.session import materialize
 
 
 def first_per_group(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
@@ -17,11 +18,25 @@ def first_per_group(rows: DataFrame, by: list[str], order: list[Column]) -> Data
 
 def ranked(rows: DataFrame, by: list[str], order: list[Column], name: str = "rank", most: int | None = None) -> DataFrame:
     """Rows with their number within their group; with ``most``, only the first so many, which Spark cuts before the
-    shuffle too."""
+    shuffle too. Without ``most`` groups have to be of bounded size; else ``ranked_whole``."""
     numbered = rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     return numbered if most is None else numbered.where(F.col(name) <= most)
 
 
+def ranked_whole(rows: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """Every row with its number within its group, for groups that may be too large for one task; ``order`` has to be
+    total. Rows are sorted over all tasks by group and order and written to the shared folder; each stretch of a group
+    in one task is numbered by itself, from where the stretches before it end."""
+    placed = rows.repartitionByRange(*(F.col(c) for c in by), *order).sortWithinPartitions(*(F.col(c) for c in by), *order)
+    stretches = materialize(placed.withColumn("_part", F.spark_partition_id()), "ranked")
+    counts = stretches.groupBy(*by, "_part").agg(F.count("*").alias("_count"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*by, "_part", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_offset"))
+    numbered = stretches.withColumn(name, F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)))
+    joined = numbered.join(offsets.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_part").alias("_p"), "_offset"), [F.col("_part") == F.col("_p"), *(F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by)])
+    return joined.withColumn(name, F.col(name) + F.col("_offset")).select(*rows.columns, name)
+
+
 def tfidf(terms: DataFrame, most: int | None = None, weight: str | None = None) -> DataFrame:
     """(cluster, language, keyword, frequency, clusters, score, rank) of ``terms`` (cluster, language, keyword): how
     often a cluster has a word over how many clusters have it. Ties go by word."""

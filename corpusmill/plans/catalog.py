@@ -22,7 +22,7 @@ def best_page_per_corpus(spark: SparkSession, root: str) -> DataFrame:
 def rank_in_kind(spark: SparkSession, root: str) -> DataFrame:
     """(corpus_id, page_kind, id, rank): pages by authority within corpus, language and kind."""
     rows = pages(spark, root, "corpus_id", "language", "page_kind", "fetch_status", "authority_score", "fetched_at").where(PARSED)
-    return catalog.ranked(rows, ["corpus_id", "language", "page_kind"], [F.desc("authority_score"), F.desc_nulls_last("fetched_at"), F.asc("id")]).select("corpus_id", "page_kind", "id", "rank")
+    return catalog.ranked_whole(rows, ["corpus_id", "language", "page_kind"], [F.desc("authority_score"), F.desc_nulls_last("fetched_at"), F.asc("id")]).select("corpus_id", "page_kind", "id", "rank")
 
 
 def dedupe_keep_highest(spark: SparkSession, root: str) -> DataFrame:

@@ -105,8 +105,10 @@ def session_last_n(spark: SparkSession, root: str) -> DataFrame:
 
 
 def session_budget(spark: SparkSession, root: str) -> DataFrame:
-    """(session_id, id, used): messages until a session's 200 characters are used up."""
-    rows = once(spark, root, "chat_turn", "id", "session_id", "user_message", "created_at").where("user_message is not null")
+    """(session_id, id, used): messages until a session's 200 characters are used up; empty messages are left out. Since
+    each one uses a character at least, a session sends no more than 200 rows a task."""
+    rows = once(spark, root, "chat_turn", "id", "session_id", "user_message", "created_at").where("length(user_message) > 0")
+    rows = ranked(rows, ["session_id"], [F.asc("created_at"), F.asc("id")], "place", 200)
     window = Window.partitionBy("session_id").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("used", F.sum(F.length("user_message")).over(window)).where("used <= 200").select("session_id", "id", "used")
 
@@ -207,7 +209,7 @@ SQL = {
     "embedded_pages": WITH + "select id from pages where id in (select document_id from chunks where embedding_status = 'embedded')",
     "unlinked_pages": WITH + "select id from pages where id not in (select cast(target_doc_id as bigint) from links where target_doc_id is not null)",
     "session_last_n": WITH + "select session_id, id, row_number() over (partition by session_id order by created_at desc, id desc) as place from turns qualify place <= 3",
-    "session_budget": WITH + "select session_id, id, cast(sum(length(user_message)) over (partition by session_id order by created_at, id rows between unbounded preceding and current row) as bigint) as used from turns where user_message is not null qualify used <= 200",
+    "session_budget": WITH + "select session_id, id, cast(sum(length(user_message)) over (partition by session_id order by created_at, id rows between unbounded preceding and current row) as bigint) as used from turns where length(user_message) > 0 qualify used <= 200",
     "session_encoding": WITH + ", b as (select turn_id, source_url, row_number() over (partition by turn_id order by score desc, hit_id) as place from hits qualify place <= 3) select turn_id, string_agg(lpad(cast(place as varchar), 2, '0') || ':' || substring(coalesce(source_url, ''), 1, 100), ' | ' order by place) as meta from b group by turn_id",
     "eval_metrics": "with s as (select q.vec_id as query_id, v.vec_id as id, q.label as wanted, v.label, list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[])) as score from embeddings q, embeddings v where q.vec_id % 50 = 0), t as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s qualify rank <= 10), r as (select query_id, cast(label = wanted as int) as ok, row_number() over (partition by query_id order by rank) as place from t where id <> query_id), p as (select query_id, max(ok) filter (place <= 1) as h1, max(ok) filter (place <= 5) as h5, coalesce(1.0 / min(place) filter (ok = 1), 0.0) as rr, sum(ok / log2(place + 1)) as dcg, sum(ok) as n from r group by query_id) select count(*) as n_queries, round(avg(h1), 6) as hit_1, round(avg(h5), 6) as hit_5, round(avg(rr), 6) as mrr, round(avg(dcg / list_sum(list_transform(range(1, cast(greatest(n, 1) as int) + 1), lambda i: 1.0 / log2(i + 1)))), 6) as ndcg_10, round(avg(dcg), 6) as ndcg_plain from p",
     "feedback_boost": "with c as (select user_id, count(*) as hits, count(*) filter (event_type = 'purchase') as up, count(*) filter (event_type = 'error') as down from events where ts > (select max(ts) from events) - interval 7 days group by 1 having count(*) >= 10) select user_id, hits, round(least(2.0, greatest(0.5, 1 + (up - down) / hits * 0.1)), 6) as boost from c",

@@ -121,3 +121,11 @@ def test_upsert_keeps_the_latest(spark):
     old = spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "k int, t int, v string")
     new = spark.createDataFrame([(1, 2, "c"), (3, 1, "d")], "k int, t int, v string")
     assert rows(feedback.upsert(old, new, ["k"], "t")) == [(1, 2, "c"), (2, 1, "b"), (3, 1, "d")]
+
+
+def test_ranks_over_several_tasks_are_those_of_one(spark):
+    random.seed(1)
+    data = [(random.choice(["hot", "hot", "hot", None, "b"]), random.randrange(50), i) for i in range(3000)]
+    df = spark.createDataFrame(data, "g string, x int, id int").repartition(7)
+    order = [F.desc("x"), F.asc("id")]
+    assert sorted(map(str, catalog.ranked_whole(df, ["g"], order).collect())) == sorted(map(str, catalog.ranked(df, ["g"], order).collect()))
