@@ -31,22 +31,23 @@ def hash_embedding(value: Column, dimensions: int = 384) -> Column:
     return scores.normalized(scores.once(scores.once(F.sha2(F.coalesce(value, F.lit("")), 256), numbers), repeated))
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = QUERY_BLOCK, apart: str | None = None) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` nearest ``vectors`` (id, vector) of each of ``queries`` (query_id, vector)
     by cosine; exact; ties by id. A vector of another length than the query's, null or of length 0 is at cosine 0.
 
     Queries are sent out in blocks of at most ``block``; a block costs one pass over the vectors, and each task sends on
-    k rows a query.
+    k rows a query. ``apart`` names an integer column of both: only vectors with another value than the query's count.
     """
     spark = queries.sparkSession
     rows = queries.where("vector is not null").orderBy("query_id").toLocalIterator()
     out, part = None, []
 
     def search(own: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(([r.query_id for r in own], np.array([r.vector for r in own], np.float64)))
+        groups = np.array([r[apart] for r in own], np.int64) if apart else None
+        shared = spark.sparkContext.broadcast(([r.query_id for r in own], np.array([r.vector for r in own], np.float64), groups))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shared.value
+            ids, matrix, own_group = shared.value
             lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
             unit = np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
             best: list[list[tuple[float, int]]] = [[] for _ in ids]
@@ -57,9 +58,13 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = QUER
                     data = np.array([v if v is not None and len(v) == unit.shape[1] else np.zeros(unit.shape[1]) for v in own_lists], np.float64)
                     size = np.linalg.norm(data, axis=1, keepdims=True)
                     similarity = unit @ np.divide(data, size, out=np.zeros_like(data), where=size > 0).T
+                    if own_group is not None:
+                        similarity = np.where(own_group[:, None] == batch.column(2).to_numpy()[None, low : low + _SLICE], -np.inf, similarity)
                     order = np.lexsort((np.broadcast_to(own_keys, similarity.shape), -similarity), axis=1)[:, :k]
                     for q, places in enumerate(order):
                         for at in places:
+                            if similarity[q, at] == -np.inf:
+                                break
                             item = (float(similarity[q, at]), -int(own_keys[at]))
                             if len(best[q]) < k:
                                 heapq.heappush(best[q], item)
@@ -68,7 +73,8 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = QUER
             found = [(q, -key, score) for q, own_best in zip(ids, best, strict=True) for score, key in own_best]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], names=["query_id", "id", "score"])
 
-        return vectors.select(F.col("id").cast("long"), "vector").where("id is not null").mapInArrow(run, "query_id long, id long, score double")
+        columns = [F.col("id").cast("long").alias("id"), F.col("vector"), *([F.coalesce(F.col(apart).cast("long"), F.lit(-(2**62))).alias("apart")] if apart else [])]
+        return vectors.select(*columns).where("id is not null").mapInArrow(run, "query_id long, id long, score double")
 
     for row in rows:
         part.append(row)
@@ -81,6 +87,31 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = QUER
     return ranked(out, ["query_id"], [F.desc("score"), F.asc("id")], "rank", k)
 
 
+def nearest(vectors: DataFrame, centers: DataFrame, most: int = 10_000) -> DataFrame:
+    """(id, cluster, score) of ``vectors`` (id, vector): the one of ``centers`` (cluster, vector) at the greatest cosine,
+    the lowest of equals. Centers are few by what they are; up to ``most`` are broadcast, more are an error."""
+    rows = centers.select("cluster", "vector").orderBy("cluster").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} centers")
+    shared = vectors.sparkSession.sparkContext.broadcast(([r.cluster for r in rows], np.array([r.vector for r in rows], np.float64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix = shared.value
+        lengths = np.linalg.norm(matrix, axis=1, keepdims=True) if len(names) else None
+        for batch in batches:
+            lists = batch.column(1).to_pylist()
+            if not len(names):
+                continue
+            unit = np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
+            data = np.array([v if v is not None and len(v) == unit.shape[1] else np.zeros(unit.shape[1]) for v in lists], np.float64).reshape(len(lists), -1)
+            size = np.linalg.norm(data, axis=1, keepdims=True)
+            similarity = np.divide(data, size, out=np.zeros_like(data), where=size > 0) @ unit.T
+            best = similarity.argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([names[b] for b in best], pa.int64()), pa.array(similarity[np.arange(len(best)), best])], names=["id", "cluster", "score"])
+
+    return vectors.select(F.col("id").cast("long"), "vector").where("id is not null").mapInArrow(run, "id long, cluster long, score double")
+
+
 def with_fallback(strict: DataFrame, loose: DataFrame, key: str = "query_id") -> DataFrame:
     """Rows of ``strict``, and for keys without any there, those of ``loose``."""
     return strict.unionByName(loose.join(strict.select(key).distinct(), key, "left_anti"))

@@ -38,16 +38,12 @@ def nearest_centroid(spark: SparkSession, root: str) -> DataFrame:
     vectors = _vectors(spark, root)
     parts = vectors.select("label", F.posexplode("vector").alias("place", "x")).groupBy("label", "place").agg(F.avg(F.col("x").cast("double")).alias("mean"))
     centroids = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "mean"))), lambda p: p["mean"]).alias("vector"))
-    found = retrieval.dense_topk(vectors.select(F.col("id").alias("query_id"), "vector"), centroids.select(F.col("label").alias("id"), "vector"), 1)
-    return found.select(F.col("query_id").alias("id"), F.col("id").alias("cluster"))
+    return retrieval.nearest(vectors, centroids.select(F.col("label").alias("cluster"), "vector")).select("id", "cluster")
 
 
 def best_match_threshold(spark: SparkSession, root: str) -> DataFrame:
     """(query_id, id, score): the nearest vector of another label, if its cosine is over .3."""
-    queries, vectors = _query_vectors(spark, root), _vectors(spark, root)
-    labels = vectors.select("id", F.col("label").alias("other"))
-    found = retrieval.dense_topk(queries, vectors, 200).join(labels, "id").join(queries.select("query_id", "label"), "query_id").where("other <> label")
-    best = retrieval.first_per_group(found, ["query_id"], [F.desc("score"), F.asc("id")])
+    best = retrieval.dense_topk(_query_vectors(spark, root), _vectors(spark, root), 1, apart="label")
     return best.where("score > 0.3").select("query_id", "id", F.round("score", 6).alias("score"))
 
 
@@ -155,7 +151,7 @@ SQL = {
     "vector_topk": f"select q.vec_id as query_id, v.vec_id as id, round({_COS}, 6) as score, row_number() over (partition by q.vec_id order by {_COS} desc, v.vec_id) as rank from embeddings q, embeddings v where q.vec_id % 50 = 0 qualify rank <= 10",
     "vector_topk_filtered": f"select q.vec_id as query_id, v.vec_id as id, row_number() over (partition by q.vec_id order by {_COS} desc, v.vec_id) as rank from embeddings q, embeddings v where q.vec_id % 50 = 0 and (q.label = 3 or v.label = 3) qualify rank <= 5",
     "nearest_centroid": "with p as (select label, i, avg(cast(embedding[i] as double)) as m from embeddings, range(1, 65) r(i) group by all), c as (select label, list(m order by i) as c from p group by label) select vec_id as id, cast(label2 as bigint) as cluster from (select e.vec_id, c.label as label2, row_number() over (partition by e.vec_id order by list_cosine_similarity(cast(e.embedding as double[]), c.c) desc, c.label) as n from embeddings e, c) where n = 1",
-    "best_match_threshold": f"with s as (select q.vec_id as query_id, q.label as l, v.vec_id as id, v.label as m, {_COS} as score, row_number() over (partition by q.vec_id order by {_COS} desc, v.vec_id) as n from embeddings q, embeddings v where q.vec_id % 50 = 0 qualify n <= 200), b as (select *, row_number() over (partition by query_id order by score desc, id) as k from s where l <> m) select query_id, id, round(score, 6) as score from b where k = 1 and score > 0.3",
+    "best_match_threshold": f"select q.vec_id as query_id, v.vec_id as id, round({_COS}, 6) as score from embeddings q, embeddings v where q.vec_id % 50 = 0 and q.label <> v.label and {_COS} > 0.3 qualify row_number() over (partition by q.vec_id order by {_COS} desc, v.vec_id) = 1",
     "semantic_rerank": f"with s as (select q.vec_id as query_id, v.vec_id as id, {_COS} as c, row_number() over (partition by q.vec_id order by {_COS} desc, v.vec_id) as n from embeddings q, embeddings v where q.vec_id % 50 = 0 qualify n <= 24) select query_id, id, round(c + 0.35 * c, 6) as score, row_number() over (partition by query_id order by round(c + 0.35 * c, 6) desc, id) as rank from s qualify rank <= 5",
     "keyword_search": WITH + ", qw as (select id as query_id, unnest(" + _TERMS.format(c="user_message", n=2) + ") as word from turns where user_message is not null), need as (select query_id, count(*) as needed from qw group by 1), cw as (select id as chunk_id, sequence_no, unnest(" + _TERMS.format(c="text", n=2) + ") as word from chunks), m as (select query_id, chunk_id, sequence_no, count(*) as found from qw join cw using (word) group by all), r as (select query_id, chunk_id, row_number() over (partition by query_id order by case when sequence_no = 0 then 0 else 1 end, chunk_id) as rank from m join need using (query_id) where found = needed qualify rank <= 20) select query_id, chunk_id, round(cast(0.85 as double) - 0.01 * (rank - 1), 6) as score, rank from r",
     "rrf_fusion": WITH + f", {_KEYWORD}, {_CITED}, {_FUSED} select query_id, id, score, n_lists, rank from r",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -52,10 +54,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
+@atexit.register
+def _clean_up() -> None:
+    """Tables in a folder of the local file system go with the process; elsewhere the folder's owner clears it."""
+    for path in _WRITTEN:
+        if path.startswith(("/", "file:/")):
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
 def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as a table into the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpusmill/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

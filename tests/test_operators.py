@@ -129,3 +129,14 @@ def test_ranks_over_several_tasks_are_those_of_one(spark):
     df = spark.createDataFrame(data, "g string, x int, id int").repartition(7)
     order = [F.desc("x"), F.asc("id")]
     assert sorted(map(str, catalog.ranked_whole(df, ["g"], order).collect())) == sorted(map(str, catalog.ranked(df, ["g"], order).collect()))
+
+
+def test_nearest_center_and_neighbours_apart(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.1], 5), (2, [0.0, 2.0], 5), (3, [0.9, 0.0], 6), (4, None, 6), (5, [1.0], None)], "id long, vector array<double>, label int")
+    centers = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 1.0])], "cluster long, vector array<double>")
+    assert [(r.id, r.cluster) for r in retrieval.nearest(vectors, centers).orderBy("id").collect()] == [(1, 7), (2, 8), (3, 7), (4, 7), (5, 7)]
+    assert retrieval.nearest(vectors, centers.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        retrieval.nearest(vectors, centers, most=1)
+    queries = vectors.where("id = 1").select(F.col("id").alias("query_id"), "vector", "label")
+    assert [r.id for r in retrieval.dense_topk(queries, vectors, 5, apart="label").orderBy("rank").collect()] == [3, 4, 5]
