@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,25 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's source to the Python workers, once an application, so that they can import it wherever the
+    driver was started."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    if package.is_dir():
+        archive = Path(tempfile.mkdtemp(prefix="corpusmill-")) / "corpusmill-source.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
 def tune(spark: SparkSession, records: int = 2048, size: int = 32 << 20) -> None:
     """Bound the Arrow batches in rows and bytes, so that a batch of long texts fits beside the executor's heap."""
     if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= records:

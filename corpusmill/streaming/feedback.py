@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusmill.functions import scores
-from corpusmill.session import materialize, shared_dir
+from corpusmill.session import materialize, shared_dir, ship
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -18,6 +18,7 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 def event_stream(spark: SparkSession, path: str, schema: str = EVENTS) -> DataFrame:
     """Files of events as they arrive in the folder ``path``, or the single file there, with a time that a watermark can
     follow."""
+    ship(spark)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     reader = spark.readStream.schema(schema)
     if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile():
