@@ -117,16 +117,31 @@ def with_fallback(strict: DataFrame, loose: DataFrame, key: str = "query_id") ->
     return strict.unionByName(loose.join(strict.select(key).distinct(), key, "left_anti"))
 
 
+def word_candidates(queries: DataFrame, chunks: DataFrame, least: int) -> DataFrame:
+    """(query_id, chunk_id, asked, wanted, found): chunks with the rarest of a query's words that any chunk has, how many
+    words it asks for, how many of them any chunk has and how many this one. Words are of ``least`` characters or more.
+
+    Only the rarest word's postings meet a query, by an equi-join; a common word multiplies nothing unless a query has no
+    rarer one. Word counts are over all chunks. Ties between words go by the word.
+    """
+    asked = queries.select("query_id", text.terms(F.col("query"), least).alias("asked_words"))
+    had = chunks.select("chunk_id", text.terms(F.col("text"), least).alias("chunk_words"))
+    postings = had.select("chunk_id", F.explode("chunk_words").alias("word"))
+    frequency = postings.groupBy("word").agg(F.count("*").alias("n"))
+    per_query = asked.select("query_id", F.explode("asked_words").alias("word")).join(frequency, "word", "left").groupBy("query_id").agg(
+        F.min_by("word", F.when(F.col("n").isNotNull(), F.struct("n", "word"))).alias("word"), F.count("*").alias("asked"), F.count("n").alias("wanted")
+    )
+    pairs = postings.join(per_query.where("wanted > 0"), "word").drop("word")
+    found = F.size(F.array_intersect("asked_words", "chunk_words")).cast("long")
+    return pairs.join(asked, "query_id").join(had, "chunk_id").select("query_id", "chunk_id", "asked", "wanted", found.alias("found"))
+
+
 def keyword_search(queries: DataFrame, chunks: DataFrame, most: int = 20) -> DataFrame:
     """(query_id, chunk_id, score, rank) of ``queries`` (query_id, query) over ``chunks`` (chunk_id, sequence_no, text):
-    chunks that have all the query's words, first chunks of documents first, then by how many distinct words they have
-    of the query's for their length, then by id. Words meet by an equi-join on the word; a word's postings are counted
-    per query and chunk before they meet. A rank's score is .85 less .01 for each place."""
-    words = queries.select("query_id", F.explode(text.terms(F.col("query"), 2)).alias("word"))
-    needed = words.groupBy("query_id").agg(F.count("*").alias("needed"))
-    postings = chunks.select("chunk_id", "sequence_no", F.explode(text.terms(F.col("text"), 2)).alias("word"))
-    hits = postings.join(words, "word").groupBy("query_id", "chunk_id", "sequence_no").agg(F.count("*").alias("found"))
-    whole = hits.join(needed, "query_id").where("found = needed").withColumn("later", F.when(F.col("sequence_no") == 0, 0).otherwise(1))
+    chunks that have all the query's words, first chunks of documents first, then by id. A rank's score is .85 less .01
+    for each place."""
+    whole = word_candidates(queries, chunks, 2).where("found = asked").join(chunks.select("chunk_id", "sequence_no"), "chunk_id")
+    whole = whole.withColumn("later", F.when(F.col("sequence_no") == 0, 0).otherwise(1))
     out = ranked(whole, ["query_id"], [F.asc("later"), F.asc("chunk_id")], "rank", most)
     return out.select("query_id", "chunk_id", F.round(0.85 - 0.01 * (F.col("rank") - 1), 6).alias("score"), "rank")
 

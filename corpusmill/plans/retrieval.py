@@ -67,13 +67,9 @@ def keyword_search(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _keyword_hits(spark: SparkSession, root: str) -> DataFrame:
-    """Chunks that share at least two of a message's words, by how many they share."""
-    from corpusmill.functions import text
-
-    words = _turns(spark, root).select("query_id", F.explode(text.terms(F.col("query"), 4)).alias("word"))
-    postings = _chunks(spark, root).select("chunk_id", F.explode(text.terms(F.col("text"), 4)).alias("word"))
-    hits = postings.join(words, "word").groupBy("query_id", F.col("chunk_id").alias("id")).agg(F.count("*").alias("n")).where("n >= 2")
-    return retrieval.ranked(hits, ["query_id"], [F.desc("n"), F.asc("id")], "rank", 20)
+    """Chunks with a message's rarest word and another one of its words, by how many of them they have."""
+    hits = retrieval.word_candidates(_turns(spark, root), _chunks(spark, root), 4).where("found >= 2")
+    return retrieval.ranked(hits.select("query_id", F.col("chunk_id").alias("id"), F.col("found").alias("n")), ["query_id"], [F.desc("n"), F.asc("id")], "rank", 20)
 
 
 def _cited_hits(spark: SparkSession, root: str) -> DataFrame:
@@ -135,7 +131,7 @@ def hash_embeddings(spark: SparkSession, root: str) -> DataFrame:
 
 _HITS = "h as (select turn_id as query_id, try_cast(trim(document_id, E' \\t\\n\\r') as bigint) as doc, max(score) as s from hits where try_cast(trim(document_id, E' \\t\\n\\r') as bigint) is not null group by all)"
 _TERMS = "list_distinct(list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: length(t) >= {n}))"
-_KEYWORD = "qw as (select id as query_id, unnest(" + _TERMS.format(c="user_message", n=4) + ") as word from turns where user_message is not null), cw as (select id, unnest(" + _TERMS.format(c="text", n=4) + ") as word from chunks), kh as (select query_id, id, count(*) as n, row_number() over (partition by query_id order by count(*) desc, id) as rank from qw join cw using (word) group by query_id, id having count(*) >= 2 qualify rank <= 20)"
+_KEYWORD = "qw as (select id as query_id, unnest(" + _TERMS.format(c="user_message", n=4) + ") as word from turns where user_message is not null), cw as (select id, unnest(" + _TERMS.format(c="text", n=4) + ") as word from chunks), df as (select word, count(*) as n from cw group by word), rw as (select query_id, arg_min(word, (n, word)) as word from qw join df using (word) group by query_id), kc as (select query_id, id from rw join cw using (word)), kn as (select kc.query_id, kc.id, count(*) as n from kc join qw on qw.query_id = kc.query_id join cw on cw.id = kc.id and cw.word = qw.word group by kc.query_id, kc.id), kh as (select query_id, id, n, row_number() over (partition by query_id order by n desc, id) as rank from kn where n >= 2 qualify rank <= 20)"
 _CITED = _HITS + ", ch as (select query_id, c.id, row_number() over (partition by query_id order by s desc, c.id) as rank from h join chunks c on c.document_id = h.doc and c.sequence_no = 0 qualify rank <= 20)"
 _FUSED = "f as (select query_id, id, round(sum(1.0 / (60 + rank)), 9) as score, count(*) as n_lists from (select query_id, id, rank from kh union all select query_id, id, rank from ch) group by all), r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from f qualify rank <= 10)"
 _COS = "list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[]))"
