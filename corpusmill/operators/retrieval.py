@@ -11,7 +11,6 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -189,25 +188,30 @@ def diversify(candidates: DataFrame, most: int, balance: float = 0.7) -> DataFra
 
     word = re.compile(r"[a-z0-9_]{3,}")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["score", "id"], ascending=[False, True], kind="stable")
-        tokens = [set(word.findall((t or "").lower())) for t in group["text"]]
-        ids, docs, relevance = group["id"].tolist(), group["document_id"].tolist(), group["score"].tolist()
-        likeness, chosen, out, used = [0.0] * len(ids), set(), [], set()
+    def choose(rows: list[dict]) -> list[tuple[int, float, int]]:
+        rows = sorted(rows, key=lambda r: (-r["score"], r["id"]))
+        tokens = [set(word.findall((r["text"] or "").lower())) for r in rows]
+        likeness, chosen, out, used = [0.0] * len(rows), set(), [], set()
         while len(out) < most:
-            open_ = [i for i in range(len(ids)) if i not in chosen and docs[i] not in used]
+            open_ = [i for i in range(len(rows)) if i not in chosen and rows[i]["document_id"] not in used]
             if not open_:
                 break
-            best = max(open_, key=lambda i: balance * relevance[i] - (1 - balance) * likeness[i])
-            out.append((group["query_id"].iloc[0], ids[best], round(balance * relevance[best] - (1 - balance) * likeness[best], 6), len(out) + 1))
+            best = max(open_, key=lambda i: balance * rows[i]["score"] - (1 - balance) * likeness[i])
+            out.append((rows[best]["id"], round(balance * rows[best]["score"] - (1 - balance) * likeness[best], 6), len(out) + 1))
             chosen.add(best)
-            used.add(docs[best])
+            used.add(rows[best]["document_id"])
             for i in open_:
                 union = len(tokens[i] | tokens[best])
                 likeness[i] = max(likeness[i], len(tokens[i] & tokens[best]) / union if union else 0.0)
-        return pd.DataFrame(out, columns=["query_id", "id", "mmr", "rank"])
+        return out
 
-    return candidates.select("query_id", "id", "document_id", "text", "score").groupBy("query_id").applyInPandas(run, "query_id long, id long, mmr double, rank int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(q, *own) for q, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for own in choose(rows)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int32()))], names=["query_id", "id", "mmr", "rank"])
+
+    listed = candidates.groupBy(F.col("query_id").cast("long").alias("query_id")).agg(F.collect_list(F.struct(F.col("id").cast("long").alias("id"), "document_id", "text", F.col("score").cast("double").alias("score"))).alias("rows"))
+    return listed.mapInArrow(run, "query_id long, id long, mmr double, rank int")
 
 
 def first_wins(lists: list[DataFrame], most: int) -> DataFrame:
