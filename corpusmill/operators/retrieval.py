@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,9 @@ from corpusmill.operators.catalog import first_per_group, ranked
 
 #: Queries are broadcast in blocks of so many vectors.
 QUERY_BLOCK = 2048
-_SLICE = 4096
+#: Sets of words are broadcast in blocks of so many.
+WORDS_BLOCK = 16_384
+_SLICE, _GROUP = 4096, 128
 
 
 def hash_embedding(value: Column, dimensions: int = 384) -> Column:
@@ -135,6 +138,74 @@ def word_candidates(queries: DataFrame, chunks: DataFrame, least: int) -> DataFr
     return pairs.join(asked, "query_id").join(had, "chunk_id").select("query_id", "chunk_id", "asked", "wanted", found.alias("found"))
 
 
+def shared_words(queries: DataFrame, chunks: DataFrame, least: int, fewest: int = 2, most: int = 20, block: int = WORDS_BLOCK) -> DataFrame:
+    """(query_id, id, n, rank) of ``queries`` (query_id, query) over ``chunks`` (chunk_id, text): the ``most`` chunks that
+    have the most of a query's distinct words of ``least`` characters or more, ``fewest`` at the least; exact; ties by id.
+
+    Queries with the same words are searched for once. Sets of words are sent out in blocks of at most ``block``; a block
+    costs one pass over the chunks, and each task sends on ``most`` rows a set.
+    """
+    spark = queries.sparkSession
+    asked = queries.select("query_id", F.array_sort(text.terms(F.col("query"), least)).alias("words")).where(F.size("words") >= fewest)
+    sets = asked.groupBy("words").agg(F.min("query_id").alias("set_id"))
+    had = chunks.select(F.col("chunk_id").cast("long").alias("id"), text.terms(F.col("text"), least).alias("words")).where("id is not null and words is not null")
+    out, part = None, []
+
+    def search(own: list) -> DataFrame:
+        own = sorted(own, key=lambda r: (len(r.words), r.set_id))
+        vocabulary = sorted({w for r in own for w in r.words})
+        code = {w: i for i, w in enumerate(vocabulary)}
+        shared = spark.sparkContext.broadcast(([r.set_id for r in own], vocabulary, [[code[w] for w in r.words] for r in own]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, known, wanted = shared.value
+            best_n, best_id = np.zeros((len(keys), most), np.int64), np.full((len(keys), most), np.iinfo(np.int64).max)
+            groups = []
+            for first in range(0, len(keys), _GROUP):
+                lists = wanted[first : first + _GROUP]
+                groups.append((first, np.array([codes + [len(known)] * (len(lists[-1]) - len(codes)) for codes in lists])))
+            for batch in batches:
+                for low in range(0, batch.num_rows, _SLICE):
+                    ids, lists = batch.column(0).slice(low, _SLICE).to_numpy(), batch.column(1).slice(low, _SLICE)
+                    values = lists.flatten()
+                    codes = pc.fill_null(pc.index_in(values, value_set=pa.array(known, values.type)), -1).to_numpy(zero_copy_only=False)
+                    at = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                    seen, row = np.unique(codes[codes >= 0], return_inverse=True)
+                    has = np.zeros((len(seen) + 1, len(ids)), np.min_scalar_type(len(wanted[-1])))
+                    has[row, at[codes >= 0]] = 1
+                    place = np.full(len(known) + 1, len(seen))
+                    place[seen] = np.arange(len(seen))
+                    for first, padded in groups:
+                        rows = place[padded]
+                        n = has[rows[:, 0]]
+                        for j in range(1, rows.shape[1]):
+                            n += has[rows[:, j]]
+                        last_n, last_id = best_n[first : first + len(n), -1:], best_id[first : first + len(n), -1:]
+                        better = n >= np.maximum(last_n, fewest).astype(np.int32)
+                        for q in np.flatnonzero(better.any(axis=1)).tolist():
+                            new = np.flatnonzero(better[q])
+                            new = new[(n[q, new] > last_n[q]) | (ids[new] < last_id[q])]
+                            if len(new):
+                                all_n, all_id = np.concatenate([best_n[first + q], n[q, new]]), np.concatenate([best_id[first + q], ids[new]])
+                                order = np.lexsort((all_id, -all_n))[:most]
+                                best_n[first + q], best_id[first + q] = all_n[order], all_id[order]
+            found = best_n > 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(keys, np.int64), found.sum(axis=1))), pa.array(best_id[found]), pa.array(best_n[found])], names=["set_id", "id", "n"])
+
+        return had.mapInArrow(run, "set_id long, id long, n long")
+
+    for row in sets.orderBy("set_id").toLocalIterator():
+        part.append(row)
+        if len(part) == block:
+            out, part = search(part) if out is None else out.unionByName(search(part)), []
+    if part:
+        out = search(part) if out is None else out.unionByName(search(part))
+    if out is None:
+        out = spark.createDataFrame([], "set_id long, id long, n long")
+    hits = ranked(out, ["set_id"], [F.desc("n"), F.asc("id")], "rank", most)
+    return asked.join(sets, "words").select("query_id", "set_id").join(hits, "set_id").select("query_id", "id", "n", "rank")
+
+
 def keyword_search(queries: DataFrame, chunks: DataFrame, most: int = 20) -> DataFrame:
     """(query_id, chunk_id, score, rank) of ``queries`` (query_id, query) over ``chunks`` (chunk_id, sequence_no, text):
     chunks that have all the query's words, first chunks of documents first, then by id. A rank's score is .85 less .01

@@ -67,9 +67,8 @@ def keyword_search(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _keyword_hits(spark: SparkSession, root: str) -> DataFrame:
-    """Chunks with a message's rarest word and another one of its words, by how many of them they have."""
-    hits = retrieval.word_candidates(_turns(spark, root), _chunks(spark, root), 4).where("found >= 2")
-    return retrieval.ranked(hits.select("query_id", F.col("chunk_id").alias("id"), F.col("found").alias("n")), ["query_id"], [F.desc("n"), F.asc("id")], "rank", 20)
+    """Chunks that share at least two of a message's words, by how many they share."""
+    return retrieval.shared_words(_turns(spark, root), _chunks(spark, root), 4)
 
 
 def _cited_hits(spark: SparkSession, root: str) -> DataFrame:

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusmill.operators import catalog, enrichment, ingest, query, retrieval
+from corpusmill.plans import retrieval as plans
 from corpusmill.streaming import feedback
 from tests.conftest import rows
 
@@ -65,6 +66,37 @@ def test_keyword_search_wants_all_words(spark):
     assert [tuple(r) for r in retrieval.keyword_search(queries, chunks).orderBy("rank").collect()] == [(1, 2, 0.85, 1), (1, 1, 0.84, 2)]
 
 
+def test_shared_words_need_no_rarest_word(spark):
+    queries = spark.createDataFrame([(1, "milk prices georgia qqtypo"), (2, "qqtypo georgia prices milk"), (3, None), (4, "milk"), (5, "none here")], "query_id long, query string")
+    chunks = spark.createDataFrame([(1, "qqtypo alone"), (2, "milk prices"), (3, "georgia milk prices"), (4, None), (5, "milk"), (6, "prices, milk!")], "chunk_id long, text string")
+    got = rows(retrieval.shared_words(queries, chunks, 4, block=1))
+    assert got == sorted((q, i, n, k) for q in (1, 2) for k, (i, n) in enumerate([(3, 3), (2, 2), (6, 2)], 1))
+
+
+def test_shared_words_against_brute_force(spark):
+    random.seed(5)
+    words = [f"word{i}" for i in range(30)]
+    queries = [(i, " ".join(random.choices(words, k=random.randrange(1, 9)))) for i in range(300)]
+    chunks = [(i, " ".join(random.choices(words, k=random.randrange(0, 12)))) for i in range(900)]
+    random.shuffle(chunks)
+    expected = []
+    for q, asked in queries:
+        hits = sorted((-len(set(asked.split()) & set(has.split())), i) for i, has in chunks)
+        expected += [(q, i, -n, k) for k, (n, i) in enumerate(hits[:6], 1) if n <= -2]
+    got = rows(retrieval.shared_words(spark.createDataFrame(queries, "query_id long, query string"), spark.createDataFrame(chunks, "chunk_id long, text string").repartition(5), 4, most=6, block=200))
+    assert got == sorted(expected)
+
+
+def test_keyword_hits_are_those_of_all_pairs_of_words(spark, tables):
+    root = tables(
+        chat_turn=[{"id": 1, "user_message": "milk prices qqtypo"}],
+        ingestion_chunk=[{"id": 1, "document_id": 1, "sequence_no": 0, "text": "qqtypo"}, {"id": 2, "document_id": 2, "sequence_no": 0, "text": "milk prices"}, {"id": 3, "document_id": 3, "sequence_no": 0, "text": "milk prices fell"}],
+        ingestion_document=[{"id": i, "canonical_url": f"http://a/{i}"} for i in (1, 2, 3)],
+    )
+    assert [(r.query_id, r.id, r.n, r["rank"]) for r in plans._keyword_hits(spark, root).orderBy("rank").collect()] == [(1, 2, 2, 1), (1, 3, 2, 2)]
+    assert [r.url for r in plans.url_first_wins(spark, root).orderBy("rank").collect()] == ["http://a/2", "http://a/3"]
+
+
 def test_page_rank_sums_to_one_and_prefers_the_hub(spark):
     nodes = spark.createDataFrame([(i,) for i in range(5)], "id long")
     edges = spark.createDataFrame([(1, 0), (2, 0), (3, 0), (3, 0), (0, 4), (4, 4), (9, 0)], "src long, dst long")
