@@ -20,8 +20,8 @@ from corpusmill.llm.common import batch, map_batches
 from corpusmill.session import materialize
 from corpusmill.sources.tables import table
 
-#: Values of each column, and pages, that the model is fitted on, at most about so many.
-TRAIN_VALUES = 1500
+#: Contexts of so many texts are counted in one pass over the values.
+COUNT_BLOCK = 300_000
 ORDERS = (1, 2, 3, 4, 5, 6, 8, 10, 13, 16, 20, 25)
 #: Weight of the next shorter context, in observations.
 BACKOFF = 1.0
@@ -30,8 +30,12 @@ ALWAYS = 4
 THRESHOLDS = (-3.0, 0.0)
 HEAD = 120
 #: A length is a column's limit if this many times as many values have it as have the lengths around it; at a limit the
-#: log-odds have to be so much higher. Lengths up to LONGEST_LIMIT are looked at.
-SPIKE, AT_LIMIT, LONGEST_LIMIT = 6.0, 3.0, 10_000
+#: log-odds have to be so much higher.
+SPIKE, AT_LIMIT = 6.0, 3.0
+#: Values are hashed in stretches of about so many characters; places are summed up when so many have been found.
+_STRETCH, _PENDING = 1 << 18, 1 << 23
+#: Stands between two values; no character, so no context of a value has it.
+_BETWEEN = 0x110000
 _BASE = np.uint64(0x100000001B3)
 _ELLIPSIS = re.compile(r"(\[\s*(…|\.{3})\s*\]|…|\.{3,})$")
 _SPACES = re.compile(r"[ \u00a0\u2000-\u200a\u202f\u3000]+")
@@ -84,6 +88,26 @@ def unit_ends(points: np.ndarray) -> np.ndarray:
     return ends
 
 
+def unit_starts(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each place 0 ... len(points): does a sentence or a line start here?"""
+    starts = np.zeros(len(points) + 1, bool)
+    starts[0] = True
+    after = np.flatnonzero(np.isin(points, [10, 32])) + 1
+    starts[after] = ends[after - 1] | (points[after - 1] == 10)
+    return starts
+
+
+def backed_off(counts: list[tuple[int, int]], base: float, own: int) -> float:
+    """The log-odds of an end by the (ends, all) ``counts`` of a text's final contexts, the shortest first."""
+    p = base
+    for ends, n in counts:
+        if n - own <= 0:
+            break
+        p = (max(0, ends - own) + BACKOFF * p) / (n - own + BACKOFF)
+    p = min(max(p, 1e-6), 1 - 1e-6)
+    return math.log(p / (1 - p))
+
+
 class EndModel:
     """Sorted context hashes with how often a unit ends after each, and how often the context comes."""
 
@@ -93,18 +117,13 @@ class EndModel:
     def log_odds(self, text: str, own: int = 1) -> float:
         """The log-odds that a unit ends where ``text`` ends. ``own``: how often the value itself may have been counted
         as an end; it is left out."""
-        tail = _points(text[-max(ORDERS) :])
-        p = self.base
-        for _, hashes in context_hashes(tail):
+        counts = []
+        for _, hashes in context_hashes(_points(text[-max(ORDERS) :])):
             i = int(np.searchsorted(self.keys, hashes[-1]))
             if i >= len(self.keys) or self.keys[i] != hashes[-1]:
                 break
-            n = int(self.all[i]) - own
-            if n <= 0:
-                break
-            p = (max(0, int(self.ends[i]) - own) + BACKOFF * p) / (n + BACKOFF)
-        p = min(max(p, 1e-6), 1 - 1e-6)
-        return math.log(p / (1 - p))
+            counts.append((int(self.ends[i]), int(self.all[i])))
+        return backed_off(counts, self.base, own)
 
 
 def fit(texts: list[str], backward: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -113,12 +132,7 @@ def fit(texts: list[str], backward: bool = True) -> tuple[np.ndarray, np.ndarray
     points = _points(joined)
     ends = unit_ends(points)
     if not backward:
-        starts = np.zeros(len(points) + 1, bool)
-        starts[0] = True
-        white = np.isin(points, [10, 32])
-        after = np.flatnonzero(white) + 1
-        starts[after] = ends[after - 1] | (points[after - 1] == 10)
-        points, ends = points[::-1], starts[::-1]
+        points, ends = points[::-1], unit_starts(points, ends)[::-1]
     all_keys, all_ends, all_n = [], [], []
     for k, hashes in context_hashes(points):
         keys, inverse, n = np.unique(hashes, return_inverse=True, return_counts=True)
@@ -134,26 +148,151 @@ def fit(texts: list[str], backward: bool = True) -> tuple[np.ndarray, np.ndarray
     return keys[order], np.concatenate(all_ends)[order], np.concatenate(all_n)[order], float(ends.mean())
 
 
-def train(texts: DataFrame, name: str) -> tuple[EndModel, EndModel]:
-    """The models of ends and of starts of the bounded sample ``texts`` (text): all tasks pick theirs, one fits."""
-    schema = [("kind", pa.int32()), ("keys", pa.binary()), ("ends", pa.binary()), ("n", pa.binary()), ("base", pa.float64())]
+def context_key(kind: int, hashes: np.ndarray) -> np.ndarray:
+    """Contexts of ends (kind 0) and of starts (kind 1) in one table."""
+    return hashes ^ (np.uint64(kind) << np.uint64(63))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sample = sorted(t for rows in batches for t in rows.column(0).to_pylist() if t)
-        for kind in (0, 1):
-            keys, ends, n, base = fit(sample, kind == 0)
-            yield batch(schema, ([kind], [keys.tobytes()], [ends.astype(np.int32).tobytes()], [n.astype(np.int32).tobytes()], [base]))
 
-    rows = map_batches(texts.select("text").repartition(1), run, "kind int, keys binary, ends binary, n binary, base double").collect()
-    made = {r.kind: EndModel(np.frombuffer(r.keys, np.uint64), np.frombuffer(r.ends, np.int32), np.frombuffer(r.n, np.int32), r.base) for r in rows}
-    return made[0], made[1]
+def text_keys(kind: int, text: str) -> list[int]:
+    """The keys of the final contexts of ``text``, the shortest first, as bigints."""
+    return [int(context_key(kind, hashes[-1:]).view(np.int64)[0]) for _, hashes in context_hashes(_points(text[-max(ORDERS) :]))]
 
 
-def sampled(rows: DataFrame, most: int = TRAIN_VALUES) -> DataFrame:
-    """About ``most`` of the rows (id, text), the same at every run."""
-    rows = rows.where("text is not null")
-    n = rows.count()
-    return rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < 1_000_000 * most // max(n, 1) + 1).select("text")
+class Tally:
+    """How often units end, or start, at the places with each of the contexts ``keys``, and how often these come.
+
+    With a context, ``keys`` have all shorter ones of its end, so a place is given up at the first that is not among them.
+    """
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(8, len(keys).bit_length() + 2)
+        slots = self._slots(keys)
+        order = np.argsort(slots, kind="stable")
+        self.keys = np.concatenate([keys[order], np.zeros(1, np.uint64)])
+        self.first = np.searchsorted(slots[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
+        self.ends, self.all = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        #: Places with an end or start, and all places, of both kinds.
+        self.places = [[0, 0], [0, 0]]
+        self.pending: list[np.ndarray] = []
+        self.pending_ends: list[np.ndarray] = []
+        self.waiting = 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        slots = self._slots(keys)
+        at, end = self.first[slots], self.first[slots + 1]
+        out = np.where((at < end) & (self.keys[at] == keys), at, -1)
+        open_ = np.flatnonzero((out < 0) & (end - at > 1))
+        while len(open_):
+            at[open_] += 1
+            hit = self.keys[at[open_]] == keys[open_]
+            out[open_[hit]] = at[open_[hit]]
+            open_ = open_[~hit & (end[open_] - at[open_] > 1)]
+        return out
+
+    def add(self, texts: list[str]) -> None:
+        points, ends, starts, size = [], [], [], 0
+        for text in texts:
+            own = _points(plain(text).strip())
+            own_ends = unit_ends(own)
+            own_starts = unit_starts(own, own_ends)
+            for kind, flags in ((0, own_ends), (1, own_starts)):
+                self.places[kind][0] += int(flags.sum())
+                self.places[kind][1] += len(flags)
+            points += [np.array([10], np.uint64), own, np.array([_BETWEEN], np.uint64)]
+            ends += [np.zeros(1, bool), own_ends]
+            starts += [np.zeros(1, bool), own_starts]
+            size += len(own)
+            if size >= _STRETCH:
+                self._stretch(points, ends, starts)
+                points, ends, starts, size = [], [], [], 0
+        if points:
+            self._stretch(points, ends, starts)
+
+    def _stretch(self, points: list[np.ndarray], ends: list[np.ndarray], starts: list[np.ndarray]) -> None:
+        joined = np.concatenate(points)
+        last = np.zeros(1, bool)
+        for kind, data, flags in ((0, joined, np.concatenate([*ends, last])), (1, joined[::-1], np.concatenate([*starts, last])[::-1])):
+            alive = np.arange(len(flags))
+            for k, hashes in context_hashes(data):
+                alive = alive[alive >= k]
+                found = self._find(context_key(kind, hashes[alive - k]))
+                alive, found = alive[found >= 0], found[found >= 0]
+                if not len(alive):
+                    break
+                self.pending.append(found)
+                self.pending_ends.append(found[flags[alive]])
+                self.waiting += len(found)
+        if self.waiting > _PENDING:
+            self.sum_up()
+
+    def sum_up(self) -> None:
+        if self.pending:
+            self.all += np.bincount(np.concatenate(self.pending), minlength=len(self.all))
+            self.ends += np.bincount(np.concatenate(self.pending_ends), minlength=len(self.ends))
+        self.pending, self.pending_ends, self.waiting = [], [], 0
+
+
+def single(rows: DataFrame) -> DataFrame:
+    """``rows`` delivered twice once; only these are shuffled."""
+    twice = materialize(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "twice")
+    return rows.join(twice, "id", "left_anti").unionByName(rows.join(twice, "id", "left_semi").dropDuplicates(["id"]))
+
+
+def context_counts(values: DataFrame, texts: DataFrame, block: int = COUNT_BLOCK) -> DataFrame:
+    """(key, ends, n): over all ``values`` (text), how often each final context of ``texts`` (kind, text) comes, and how
+    often a unit ends there (kind 0) or starts (kind 1; the text is backward). The keys 0 and 1 have the counts of all
+    places. Texts are sent out in blocks of at most ``block``; a block costs one pass over the values."""
+    spark = values.sparkSession
+
+    def count(own: list) -> DataFrame:
+        keys = np.unique(np.array([k for r in own for k in text_keys(r.kind, r.text)], np.int64)).view(np.uint64)
+        shared = spark.sparkContext.broadcast(keys)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tally = Tally(shared.value)
+            for rows in batches:
+                for column in rows.columns:
+                    tally.add([t for t in column.to_pylist() if t])
+            tally.sum_up()
+            some = np.flatnonzero(tally.all)
+            keys_ = np.concatenate([tally.keys[some].view(np.int64), [0, 1]])
+            ends, n = (np.concatenate([part[some], [tally.places[kind][i] for kind in (0, 1)]]) for i, part in enumerate((tally.ends, tally.all)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys_), pa.array(ends), pa.array(n)], names=["key", "ends", "n"])
+
+        return map_batches(values, run, "key long, ends long, n long").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("n").alias("n"))
+
+    out, part = None, []
+    for row in texts.orderBy("kind", "text").toLocalIterator():
+        part.append(row)
+        if len(part) == block:
+            out, part = count(part) if out is None else out.unionByName(count(part)), []
+    if part or out is None:
+        out = count(part) if out is None else out.unionByName(count(part))
+    return out.groupBy("key").agg(F.max("ends").alias("ends"), F.max("n").alias("n"))
+
+
+def text_odds(counts: DataFrame, texts: DataFrame) -> DataFrame:
+    """(kind, text, log_odds) of ``texts`` (kind, text) by their contexts' ``counts``. Each text was counted once itself,
+    as an end or a start; that is left out."""
+    totals = {r.key: r.ends / max(r.n, 1) for r in counts.where("key in (0, 1)").collect()}
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            found = [(kind, text, k, key) for kind, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True) for k, key in enumerate(text_keys(kind, text))]
+            yield batch([("kind", pa.int32()), ("text", pa.string()), ("k", pa.int32()), ("key", pa.int64())], ([f[i] for f in found] for i in range(4)))
+
+    def odds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            kinds, counted = rows.column(0).to_pylist(), rows.column(2).to_pylist()
+            values = [backed_off([(c["ends"], c["n"]) for c in own], totals.get(kind, 0.02), 1) for kind, own in zip(kinds, counted, strict=True)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(values, pa.float64())], names=["kind", "text", "log_odds"])
+
+    exploded = map_batches(texts.select("kind", "text"), contexts, "kind int, text string, k int, key long")
+    listed = exploded.join(counts, "key").groupBy("kind", "text").agg(F.array_sort(F.collect_list(F.struct("k", "ends", "n"))).alias("counts"))
+    return map_batches(listed, odds, "kind int, text string, log_odds double")
 
 
 def script(text: str) -> str:
@@ -167,30 +306,28 @@ def script(text: str) -> str:
     return max(count, key=count.__getitem__)
 
 
-def scored_values(values: DataFrame, model: EndModel) -> DataFrame:
-    """(item_table, field, item_id, corpus_id, document_id, sequence_no, size, script, mark, log_odds) of ``values`` (with
+def tails(values: DataFrame) -> DataFrame:
+    """(item_table, field, item_id, corpus_id, document_id, sequence_no, size, script, mark, tail) of ``values`` (with
     text): one row a value; null and blank values are left out. mark: the value ends in a replacement character or an
-    added ellipsis, so it was visibly cut."""
-    shared = values.sparkSession.sparkContext.broadcast(model)
+    added ellipsis, so it was visibly cut. tail: its last characters; null if marked or closed by a full stop."""
     carried = ["item_table", "field", "item_id", "corpus_id", "document_id", "sequence_no"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for rows in batches:
             text = rows.column(len(carried)).to_pylist()
             keep = [i for i, t in enumerate(text) if t and not t.isspace()]
-            scripts, marks, odds, sizes = [], [], [], []
+            scripts, marks, ends, sizes = [], [], [], []
             for i in keep:
                 value = text[i].rstrip()
                 sizes.append(len(text[i]))
                 scripts.append(script(value))
                 marks.append(value.endswith("�") or bool(_ELLIPSIS.search(value)))
                 tail = plain(value[-120:]).rstrip()
-                odds.append(-12.0 if marks[-1] else 12.0 if _CLOSED.search(tail) else known.log_odds("\n" + tail if len(value) <= 120 else tail))
+                ends.append(None if marks[-1] or _CLOSED.search(tail) else ("\n" + tail if len(value) <= 120 else tail)[-max(ORDERS) :])
             picked = [rows.column(i).take(pa.array(keep, pa.int64())) for i in range(len(carried))]
-            yield pa.RecordBatch.from_arrays([*picked, pa.array(sizes, pa.int32()), pa.array(scripts, pa.string()), pa.array(marks, pa.bool_()), pa.array(odds, pa.float64())], names=[*carried, "size", "script", "mark", "log_odds"])
+            yield pa.RecordBatch.from_arrays([*picked, pa.array(sizes, pa.int32()), pa.array(scripts, pa.string()), pa.array(marks, pa.bool_()), pa.array(ends, pa.string())], names=[*carried, "size", "script", "mark", "tail"])
 
-    kinds = "item_table string, field string, item_id long, corpus_id long, document_id long, sequence_no int, size int, script string, mark boolean, log_odds double"
+    kinds = "item_table string, field string, item_id long, corpus_id long, document_id long, sequence_no int, size int, script string, mark boolean, tail string"
     return map_batches(values.select(*carried, "text"), run, kinds)
 
 
@@ -212,11 +349,14 @@ def thresholds(scored: DataFrame) -> dict[tuple[str, str], float]:
 
 def limits(scored: DataFrame) -> dict[str, list[int]]:
     """field -> the lengths at which its values are cut: far more values than at the lengths around."""
-    counts: dict[str, dict[int, int]] = {}
-    for r in scored.where(F.col("size") <= LONGEST_LIMIT).groupBy("field", "size").count().collect():
-        counts.setdefault(r.field, {})[r["size"]] = r["count"]
-    around = (-4, -3, -2, -1, 1, 2, 3, 4)
-    return {field: [s for s, n in own.items() if n >= 5 and n >= SPIKE * max(1.0, sum(own.get(s + d, 0) for d in around) / len(around))] for field, own in counts.items()}
+    counts = scored.groupBy("field", "size").agg(F.count("*").alias("n"))
+    around = [d for d in range(-4, 5) if d]
+    near = counts.select("field", F.explode(F.array(*(F.col("size") + d for d in around))).alias("size"), F.col("n").alias("m")).groupBy("field", "size").agg(F.sum("m").alias("m"))
+    spikes = counts.where("n >= 5").join(near, ["field", "size"], "left").where(F.col("n") >= SPIKE * F.greatest(F.lit(1.0), F.coalesce("m", F.lit(0)) / len(around)))
+    out: dict[str, list[int]] = {}
+    for r in spikes.select("field", "size").orderBy("field", "size").collect():
+        out.setdefault(r.field, []).append(r["size"])
+    return out
 
 
 def _values(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -234,18 +374,32 @@ def cut_values(spark: SparkSession, root: str) -> DataFrame:
     """(item_table, field, item_id, corpus_id, cut): every non-blank value once, and whether it was cut.
 
     A chunk that stops inside a sentence is whole if the document's next chunk starts inside one: the start model holds
-    the head of the next chunk against the starts of sentences. Only chunks that seem cut are joined to the next one.
+    the head of the next chunk against the starts of sentences. Only chunks that no full stop closes are joined to the
+    next one. Contexts are counted over all values and pages, but only those that a value or a head ends in.
     """
     values, chunks = _values(spark, root)
-    lines = table(spark, root, "ingestion_document", "id", F.col("content_text").alias("text"))
-    sample = sampled(lines)
-    for field in ("summary_ka", "summary_en"):
-        sample = sample.unionByName(sampled(table(spark, root, "ingestion_document", "id", F.col(field).alias("text"))))
-    sample = sample.unionByName(sampled(chunks.select("id", "text"), 2 * TRAIN_VALUES))
-    ends, starts = train(sample, "ends")
-
     own = chunks.select(F.lit("ingestion_chunk").alias("item_table"), F.lit("text").alias("field"), F.col("id").alias("item_id"), "corpus_id", "document_id", "sequence_no", "text")
-    scored = materialize(scored_values(values.unionByName(own), ends).distinct(), "ends-scored")
+    ended = materialize(tails(values.unionByName(own)).distinct(), "tails")
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            pairs = [(i, plain(head).strip()[: max(ORDERS)][::-1]) for i, head in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)]
+            pairs = [p for p in pairs if p[1]]
+            yield batch([("item_id", pa.int64()), ("head", pa.string())], ([p[0] for p in pairs], [p[1] for p in pairs]))
+
+    next_ = chunks.select("document_id", (F.col("sequence_no") - 1).alias("sequence_no"), F.substring(F.ltrim("text"), 1, HEAD).alias("head")).where("head is not null")
+    open_ = ended.where("field = 'text' and tail is not null and document_id is not null and sequence_no is not null").select("item_id", "document_id", "sequence_no")
+    heads = materialize(map_batches(open_.join(next_, ["document_id", "sequence_no"]).select("item_id", "head"), begin, "item_id long, head string").distinct(), "heads")
+
+    texts = materialize(ended.where("tail is not null").select(F.lit(0).alias("kind"), F.col("tail").alias("text")).unionByName(heads.select(F.lit(1).alias("kind"), F.col("head").alias("text"))).distinct(), "texts")
+    counted = single(table(spark, root, "ingestion_document", "id", "content_text", "summary_ka", "summary_en").where("id is not null")).drop("id")
+    nothing = F.lit(None).cast("string")
+    counted = counted.unionByName(single(chunks.select("id", "text")).select(F.col("text").alias("content_text"), nothing.alias("summary_ka"), nothing.alias("summary_en")))
+    odds = materialize(text_odds(materialize(context_counts(counted, texts), "contexts"), texts), "odds")
+
+    fixed = F.when(F.col("mark"), -12.0).when(F.col("tail").isNull(), 12.0)
+    by_tail = odds.where("kind = 0").select(F.col("text").alias("tail"), "log_odds")
+    scored = materialize(ended.join(by_tail, "tail", "left").withColumn("log_odds", F.coalesce(fixed, "log_odds")), "ends-scored")
     known = thresholds(scored)
     limit = F.lit(-2.0)
     for (field, kind), value in known.items():
@@ -254,18 +408,8 @@ def cut_values(spark: SparkSession, root: str) -> DataFrame:
         limit = limit + F.when((F.col("field") == field) & F.col("size").isin(sizes), AT_LIMIT).otherwise(0.0)
     judged = scored.withColumn("cut", F.col("mark") | (F.col("log_odds") < limit))
 
-    heads = chunks.select("document_id", (F.col("sequence_no") - 1).alias("sequence_no"), F.substring(F.ltrim("text"), 1, HEAD).alias("head"))
-    open_ = judged.where("field = 'text' and cut and not mark and document_id is not null and sequence_no is not null")
-    after = open_.join(heads, ["document_id", "sequence_no"]).select("item_id", "head").where("head is not null")
-    shared = spark.sparkContext.broadcast(starts)
-
-    def goes_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for rows in batches:
-            ids = [i for i, head in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True) if head.strip() and model.log_odds(plain(head).strip()[: max(ORDERS)][::-1], 0) < -1.0]
-            yield batch([("item_id", pa.int64())], (ids,))
-
-    whole = map_batches(after, goes_on, "item_id long").distinct().select("item_id", F.lit("text").alias("field"), F.lit(True).alias("goes_on"))
+    going = odds.where("kind = 1 and log_odds < -1.0").select(F.col("text").alias("head"))
+    whole = heads.join(going, "head").select("item_id", F.lit("text").alias("field"), F.lit(True).alias("goes_on")).distinct()
     joined = judged.join(whole, ["item_id", "field"], "left")
     return joined.select("item_table", "field", "item_id", "corpus_id", (F.col("cut") & F.col("goes_on").isNull()).alias("cut"))
 

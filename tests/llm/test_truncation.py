@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from corpusmill.llm.truncation import EndModel, fit, p6_found, p6_per_site, plain, unit_ends
+from corpusmill.llm.truncation import EndModel, context_counts, fit, limits, p6_found, p6_per_site, plain, text_keys, unit_ends
 from tests.conftest import rows
 
 SUBJECTS = ["The price of milk", "The number of births", "The average wage", "The export of goods"]
@@ -66,3 +66,26 @@ def test_queries(spark, tables):
 
 def test_empty(spark, tables):
     assert rows(p6_found(spark, tables())) == []
+
+
+def test_contexts_are_counted_over_all_values(spark):
+    random.seed(4)
+    values = [text(random, 1) for _ in range(6000)] + ["A rare ending xq", "xq xq.", None, "two\nlines xq"]
+    texts = ["rare ending xq", "lk fell again", "\nThe", "zzz", "q"]
+    asked = spark.createDataFrame([(kind, t[::-1] if kind else t) for t in texts for kind in (0, 1)], "kind int, text string")
+    got = {r.key: (r.ends, r.n) for r in context_counts(spark.createDataFrame([(v,) for v in values], "text string").repartition(3), asked, block=4).collect()}
+    for t in texts:
+        keys = text_keys(0, t)
+        for k, key in zip((1, 2, 3, 4, 5, 6, 8, 10, 13), keys, strict=False):
+            n = ends = 0
+            for value in filter(None, values):
+                points = np.array(list(map(ord, value)), np.uint64)
+                own, at = unit_ends(points), [i for i in range(len(value) + 1) if ("\n" + value)[: i + 1].endswith(t[-k:])]
+                n, ends = n + len(at), ends + int(sum(own[i] for i in at))
+            assert got.get(key, (0, 0)) == (ends, n)
+    assert got[text_keys(0, "rare ending xq")[-1]] == (1, 1)
+
+
+def test_limits_of_any_length(spark):
+    sizes = [16_384] * 30 + [65_535] * 30 + list(range(100, 400))
+    assert limits(spark.createDataFrame([("text", s) for s in sizes], "field string, size int")) == {"text": [16_384, 65_535]}
