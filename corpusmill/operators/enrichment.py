@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import scores, urls
+from corpusmill.operators.catalog import first_per_group, ranked
 from corpusmill.session import materialize
 
 _SENTENCES, _TOKEN = re.compile(r"[.!?\n]+"), re.compile(r"[^\W_]+(?:-[^\W_]+)*")
@@ -80,6 +81,15 @@ def keywords(documents: DataFrame, key: str, column: str, most: int = 15) -> Dat
     return documents.select(F.col(key).cast("long").alias(key), column).mapInArrow(run, f"{key} long, place int, keyword string, score double")
 
 
+def merged_keywords(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, place, keyword, score) of ``found`` (id, place, keyword, score) for ``pairs`` (id, pair): a document's phrases,
+    then those of its pair, if it has one; a phrase once whatever its case."""
+    own = found.join(pairs.select("id"), "id", "left_semi").withColumn("source", F.lit(0))
+    others = pairs.where("pair is not null").join(found.withColumnRenamed("id", "pair"), "pair").select("id", "place", "keyword", "score", F.lit(1).alias("source"))
+    single = first_per_group(own.unionByName(others).withColumn("low", F.lower("keyword")), ["id", "low"], [F.asc("source"), F.asc("place")])
+    return ranked(single.withColumnRenamed("place", "own_place"), ["id"], [F.asc("source"), F.asc("own_place")], "place").select("id", "place", "keyword", "score")
+
+
 def kept_keywords(keyword: Column, stop_words: list[str]) -> Column:
     """Not short, not a stop word, not all digits."""
     return (F.length(keyword) >= 3) & ~F.lower(keyword).isin(stop_words) & ~keyword.rlike("^[0-9]+$")

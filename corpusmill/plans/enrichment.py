@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import scores
 from corpusmill.operators import enrichment
 from corpusmill.operators.catalog import first_per_group
+from corpusmill.session import materialize
 from corpusmill.sources.tables import table
 from corpusmill.sources.views import WITH, links, once, pages
 
@@ -15,9 +16,12 @@ ROUNDS = 5
 
 
 def keywords(spark: SparkSession, root: str) -> DataFrame:
-    """(id, place, keyword, score): each page's keyphrases, those fit for a catalog."""
-    found = enrichment.keywords(pages(spark, root, "lead_text"), "id", "lead_text", 10)
-    return found.where(enrichment.kept_keywords(F.col("keyword"), ["the", "and", "for", "და", "რომ"])).select("id", "place", "keyword", F.round("score", 6).alias("score"))
+    """(id, place, keyword, score): the keyphrases of each page's whole text, then of its locale pair's, those fit for a
+    catalog."""
+    rows = pages(spark, root, "content_text", "locale_pair_doc_id").where(F.col("content_text").rlike(r"\S"))
+    found = materialize(enrichment.keywords(rows, "id", "content_text"), "keywords")
+    merged = enrichment.merged_keywords(found, rows.select("id", F.col("locale_pair_doc_id").cast("long").alias("pair")))
+    return merged.where(enrichment.kept_keywords(F.col("keyword"), ["the", "and", "for", "და", "რომ"])).select("id", "place", "keyword", F.round("score", 6).alias("score"))
 
 
 def page_rank(spark: SparkSession, root: str) -> DataFrame:

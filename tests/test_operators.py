@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusmill.operators import catalog, enrichment, ingest, query, retrieval
+from corpusmill.plans import enrichment as enrichment_plans
 from corpusmill.plans import retrieval as plans
 from corpusmill.streaming import feedback
 from tests.conftest import rows
@@ -112,6 +113,18 @@ def test_keyphrases_and_likeness():
     assert len(terms) == len(set(terms)) <= 5
 
 
+def test_keywords_are_of_the_whole_text_and_the_pair(spark, tmp_path):
+    data = [(1, 2, "Milk. " + "Wheat harvest. " * 3 + "Exports.", None), (2, 1, "MILK. Births.", "Lead."), (3, 2, " \n", None), (4, None, "Wages 2020. 77", None), (5, 3, "Prices.", None)]
+    spark.createDataFrame(data, "id long, locale_pair_doc_id long, content_text string, lead_text string").write.parquet(str(tmp_path / "ingestion_document.parquet"))
+    got = {}
+    for r in enrichment_plans.keywords(spark, str(tmp_path)).orderBy("id", "place").collect():
+        got.setdefault(r.id, []).append(r.keyword)
+    own = {i: [t for t, _ in enrichment.keyphrases(text)] for i, _, text, _ in data}
+    kept = lambda terms: [t for n, t in enumerate(terms) if len(t) >= 3 and not t.isdigit() and t.lower() not in [o.lower() for o in terms[:n]]]
+    assert got == {1: kept(own[1] + own[2]), 2: kept(own[2] + own[1]), 4: kept(own[4]), 5: kept(own[5])}
+    assert "Exports" in got[1] and "Births" in got[1] and sum(k.lower() == "milk" for k in got[1]) == 1
+
+
 def test_curation(spark):
     base = spark.createDataFrame([(1, 1.0), (2, 1.0), (3, 1.9), (4, 1.0)], "id long, score double")
     over = spark.createDataFrame([(1, "exclude", None), (2, "demote", None), (3, "boost", None), (4, "boost", "2000-01-01")], "target_id long, action string, e string").withColumn("expires_at", F.to_timestamp("e"))
