@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from corpusmill.llm.truncation import EndModel, context_counts, fit, limits, p6_found, p6_per_site, plain, text_keys, unit_ends
+from corpusmill.llm.truncation import UNITS, EndModel, context_counts, fit, limits, p6_found, p6_per_site, plain, text_keys, unit_ends
 from tests.conftest import rows
 
 SUBJECTS = ["The price of milk", "The number of births", "The average wage", "The export of goods"]
@@ -36,6 +36,16 @@ def test_held_out_accuracy():
     assert right > 0.95 * 600
 
 
+def test_a_full_stop_alone_closes_nothing(spark, tables):
+    random.seed(5)
+    names = ["Smith", "Brown", "Jones", "Green", "Baker", "Clark"]
+    pages = [{"id": i, "corpus_id": 1, "language": "en", "content_text": text(random, 4) + f" The report was given by Dr. {random.choice(names)} in the region.\n" + text(random, 2), "summary_en": text(random)} for i in range(400)]
+    pages += [{"id": 1000 + i, "corpus_id": 1, "summary_en": text(random) + " The report was given by Dr."} for i in range(3)]
+    pages += [{"id": 2000 + i, "corpus_id": 1, "summary_en": text(random)[:-9]} for i in range(20)]
+    got = {r.item_id for r in p6_found(spark, tables(ingestion_document=pages)).collect()}
+    assert {1000, 1001, 1002} <= got and len([i for i in got if i < 1000]) < 4
+
+
 def test_queries(spark, tables):
     random.seed(3)
     pages, chunks, cut = [], [], set()
@@ -82,8 +92,8 @@ def test_contexts_are_counted_over_all_values(spark):
                 points = np.array(list(map(ord, value)), np.uint64)
                 own, at = unit_ends(points), [i for i in range(len(value) + 1) if ("\n" + value)[: i + 1].endswith(t[-k:])]
                 n, ends = n + len(at), ends + int(sum(own[i] for i in at))
-            assert got.get(key, (0, 0)) == (ends, n)
-    assert got[text_keys(0, "rare ending xq")[-1]] == (1, 1)
+            assert got.get(key, (0, 0)) == (UNITS * ends, UNITS * n)
+    assert got[text_keys(0, "rare ending xq")[-1]] == (UNITS, UNITS)
 
 
 def test_limits_of_any_length(spark):
