@@ -2,8 +2,8 @@
 
 A quotation of SPAN words with at most one edit in any EVERY of them keeps at least KEPT of its five-word shingles
 whole. So of each span of an item it is enough to look for all but KEPT - 1 of its shingles, the rarest ones: its
-prefix. Documents that share a prefix shingle are candidates, the lengths and places of the shared shingles bound them,
-and an exact alignment verifies.
+prefix. A document that shares a prefix shingle is a candidate, what lies before and after the shingle in both texts bounds
+the span, and an exact alignment of windows around it verifies, where the document is: no document is sent anywhere.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ from corpusmill.sources.tables import table
 
 SPAN, EVERY, SHINGLE = 18, 8, 5
 #: Items are sent to the executors in blocks of so many; each block is held against all documents.
-ITEM_BLOCK = 5_000
+ITEM_BLOCK = 20_000
+#: Words before and after a match that are aligned.
+REACH = 2 * SPAN
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -94,6 +96,17 @@ def longest_span(item: list[int], doc: list[int], at: int, place: int, every: in
     return best
 
 
+def holds(item: list[int], doc: list[int], at: int, place: int) -> bool:
+    """Does ``doc`` hold SPAN words of ``item`` around the match of item[at] and doc[place]? What lies before and after the
+    match bounds the span; and since a span that has the match has one of at most SPAN + 2 words around it, with whole words
+    at both ends, only windows of the two are aligned."""
+    before, after = min(at, place + place // EVERY + 1), min(len(item) - at, len(doc) - place + (len(doc) - place) // EVERY + 1)
+    if before + after < SPAN:
+        return False
+    low, first = max(0, at - REACH), max(0, place - REACH)
+    return longest_span(item[low : at + REACH], doc[first : place + REACH], at - low, place - first) >= SPAN
+
+
 def _match_block(documents: DataFrame, items: dict[int, list[str]]) -> DataFrame:
     spark = documents.sparkSession
     vocabulary: dict[str, int] = {}
@@ -129,39 +142,37 @@ def _match_block(documents: DataFrame, items: dict[int, list[str]]) -> DataFrame
     postings = scanned.select("doc_id", F.explode(F.arrays_zip("places", "shingles")).alias("hit")).select("doc_id", "hit.places", "hit.shingles").toDF("doc_id", "place", "shingle")
     rarity = dict(postings.groupBy("shingle").agg(F.countDistinct("doc_id").alias("n")).collect())
 
-    prefix: dict[int, set[tuple[int, int]]] = defaultdict(set)
+    prefix: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for item, own in hashes.items():
         listed = own.tolist()
         size = SPAN - SHINGLE + 1
+        chosen = set()
         for start in range(len(listed) - size + 1):
-            window = sorted(range(start, start + size), key=lambda k: (rarity.get(listed[k], 0), listed[k], k))
-            for k in window[: size - KEPT + 1]:
-                if listed[k] in rarity:
-                    prefix[listed[k]].add((item, k))
-    rows = [(shingle, item, k) for shingle, places in prefix.items() for item, k in places]
-    tokens = spark.createDataFrame(rows, "shingle long, item_id long, at int")
-    seeds = postings.join(F.broadcast(tokens), "shingle").groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("at", "place")).alias("seeds"))
-    sequences = spark.sparkContext.broadcast(coded)
+            chosen.update(sorted(range(start, start + size), key=lambda k: (rarity.get(listed[k], 0), listed[k], k))[: size - KEPT + 1])
+        for k in sorted(chosen):
+            if listed[k] in rarity:
+                prefix[listed[k]].append((item, k))
+    seeds = spark.sparkContext.broadcast((coded, dict(prefix)))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items_, known = seeds.value
         for rows in batches:
             docs, found = [], []
-            for doc, item, seeds, ids in zip(*(column.to_pylist() for column in rows.columns), strict=True):
-                own, seen = sequences.value[item], set()
-                for seed in sorted((s["at"], s["place"]) for s in seeds):
-                    if seed in seen:
-                        continue
-                    at, place = seed
-                    while at < len(own) and place < len(ids) and own[at] == ids[place]:
-                        seen.add((at, place))
-                        at, place = at + 1, place + 1
-                    if longest_span(own, ids, *seed) >= SPAN:
-                        docs.append(doc)
-                        found.append(item)
-                        break
+            for doc, ids, places, shingles in zip(*(column.to_pylist() for column in rows.columns), strict=True):
+                own, seen = set(), set()
+                for place, shingle in zip(places, shingles, strict=True):
+                    for item, at in known.get(shingle, ()):
+                        if item in own or (item, at - 1, place - 1) in seen:
+                            seen.add((item, at, place))
+                            continue
+                        seen.add((item, at, place))
+                        if holds(items_[item], ids, at, place):
+                            own.add(item)
+                docs += [doc] * len(own)
+                found += own
             yield batch([("doc_id", pa.int64()), ("item_id", pa.int64())], (docs, found))
 
-    return map_batches(seeds.join(scanned.select("doc_id", "ids"), "doc_id").select("doc_id", "item_id", "seeds", "ids"), verify, "doc_id long, item_id long")
+    return map_batches(scanned, verify, "doc_id long, item_id long")
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, block: int = ITEM_BLOCK) -> DataFrame:

@@ -76,3 +76,16 @@ def test_found_against_brute_force(spark, tables):
 def test_empty(spark, tables):
     assert rows(p9_found(spark, tables())) == []
     assert rows(p9_found(spark, tables(documents=[{"doc_id": 1, "text": "a b c"}]))) == []
+
+
+def test_a_document_with_all_items_and_a_very_long_passage(spark, tables):
+    random.seed(9)
+    alphabet = [f"word{i}" for i in range(3000)]
+    items = [{"item_id": k, "passage": " ".join(random.choices(alphabet, k=30))} for k in range(5000)]
+    long = random.choices(alphabet, k=20_000)
+    often = [w if n % 8 else "zzz" for n, w in enumerate(long)]  # an edit in any 8 words
+    closer = [w if n % 6 else "zzz" for n, w in enumerate(long)]
+    items.append({"item_id": 9000, "passage": " ".join(long)})
+    documents = [{"doc_id": 1, "text": "\n".join(i["passage"] for i in items[:5000])}, {"doc_id": 2, "text": " ".join(often)}, {"doc_id": 3, "text": " ".join(closer)}]
+    got = rows(p9_found(spark, tables(documents=documents, eval_item=items)))
+    assert got == [(1, k) for k in range(5000)] + [(2, 9000)]
