@@ -12,12 +12,14 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import batch, map_batches, page_lines
 from corpusmill.sources.tables import table
+from corpusmill.sources.views import single_rows
 
 LANGUAGES = ("ka", "en", "ru", "de")
 #: Labelled rows of each language, at most about so many, that the word models are fitted on.
@@ -130,6 +132,38 @@ class WordModel:
             total[state] += n
         return tuple(total)
 
+    def spans(self, line: str) -> list[tuple[int, int, str, float]]:
+        """(start, end, language, posterior) of the stretches of a line in one language, by the most probable path; the
+        posterior is the mean over its words of their language's probability given the whole line, by forward and backward
+        scores. Words of no known script belong to the stretch around them; long runs without a blank have no language."""
+        gone = [(m.start(), m.end()) for m in _LONG_RUN.finditer(line)]
+        found = [(m.start(), m.end(), s) for m in _TOKEN.finditer(line) if (s := self.scores(m.group())) and not any(a <= m.start() < b for a, b in gone)]
+        if not found:
+            return []
+        scores = np.array([s for *_, s in found])
+        forward, backward, now = np.zeros_like(scores), np.zeros_like(scores), scores[0]
+        best, back = scores[0], np.zeros(scores.shape, int)
+        forward[0] = now
+        for i in range(1, len(scores)):
+            forward[i] = np.logaddexp(forward[i - 1], np.logaddexp.reduce(forward[i - 1]) - SWITCH) + scores[i]
+            top = int(best.argmax())
+            back[i] = np.where(best >= best[top] - SWITCH, np.arange(4), top)
+            best = np.maximum(best, best[top] - SWITCH) + scores[i]
+        for i in range(len(scores) - 2, -1, -1):
+            after = backward[i + 1] + scores[i + 1]
+            backward[i] = np.logaddexp(after, np.logaddexp.reduce(after) - SWITCH)
+        posterior = np.exp(forward + backward - np.logaddexp.reduce(forward + backward, axis=1, keepdims=True))
+        states = [int(best.argmax())]
+        for i in range(len(scores) - 1, 0, -1):
+            states.append(int(back[i, states[-1]]))
+        states.reverse()
+        out, first = [], 0
+        for i in range(1, len(states) + 1):
+            if i == len(states) or states[i] != states[first]:
+                out.append((found[first][0], found[i - 1][1], LANGUAGES[states[first]], float(posterior[first:i, states[first]].mean())))
+                first = i
+        return out
+
     def main(self, text: str) -> tuple[str | None, float]:
         """The language of most letters and its share of them."""
         total = [sum(n) for n in zip(*map(self.letters, text.split("\n")), strict=True)]
@@ -181,10 +215,10 @@ def training_texts(rows: DataFrame, rows_each: int = TRAIN_ROWS) -> dict[str, li
     """Texts of ``rows`` (id, label, text) by language: of each about ``rows_each`` labelled rows, the same at every run."""
     labelled = rows.select("id", label_language(F.col("label")).alias("lang"), "text").where("lang in ('ka', 'en', 'de') and text is not null")
     counts = dict(labelled.groupBy("lang").count().collect())
-    draw = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
+    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
     chosen = F.lit(False)
     for lang, n in counts.items():
-        chosen = chosen | ((F.col("lang") == lang) & (draw < 1_000_000 * rows_each // max(n, 1) + 1))
+        chosen = chosen | ((F.col("lang") == lang) & (draw < (rows_each << 40) // max(n, 1) + 1))
     texts: dict[str, list[str]] = {}
     for row in labelled.where(chosen).orderBy("id").toLocalIterator():
         texts.setdefault(row.lang, []).append(row.text)
@@ -242,6 +276,34 @@ def page_languages(pages: DataFrame, model: WordModel) -> DataFrame:
     return map_batches(pages.select("id", "label", "content_text", "title"), run, "document_id long, label string, language string, confidence double, lines array<struct<line_no: int, lang: string, confidence: double>>")
 
 
+def language_spans(pages: DataFrame, model: WordModel) -> DataFrame:
+    """(document_id, line_no, start, end, lang, posterior) of ``pages`` (id, content_text, title): the stretches of each line
+    of content_text that is not wholly in its page's language. Places are code points of the line. Null and blank texts
+    have none. Rows are handled one by one; nothing is shuffled."""
+    shared = pages.sparkSession.sparkContext.broadcast(model)
+    schema = [("document_id", pa.int64()), ("line_no", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("posterior", pa.float64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for rows in batches:
+            columns: list[list] = [[] for _ in schema]
+            for page, text in zip(*(column.to_pylist() for column in rows.columns), strict=True):
+                if not text or text.isspace():
+                    continue
+                lines = page_lines(text)
+                counted = [known.letters(line) for line in lines]
+                total = [sum(n) for n in zip(*counted, strict=True)]
+                main = max(range(4), key=total.__getitem__)
+                for number, (line, letters) in enumerate(zip(lines, counted, strict=True)):
+                    if sum(letters) > letters[main]:
+                        for span in known.spans(line):
+                            for column, value in zip(columns, (page, number, *span), strict=True):
+                                column.append(value)
+            yield batch(schema, columns)
+
+    return map_batches(pages.select("id", "content_text"), run, "document_id long, line_no int, start int, end int, lang string, posterior double")
+
+
 def _languages(spark: SparkSession, root: str) -> DataFrame:
     pages = table(spark, root, "ingestion_document", "id", F.col("language").alias("label"), "content_text", "title").where("id is not null")
     return page_languages(pages, train(pages.select("id", "label", F.col("content_text").alias("text"))))
@@ -267,5 +329,13 @@ def p3_lines(spark: SparkSession, root: str) -> DataFrame:
     return lines.select("document_id", "line.line_no", "line.lang", F.round("line.confidence", 6).alias("confidence")).distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p3_pages": p3_pages, "p3_lines": p3_lines}
+def p3_spans(spark: SparkSession, root: str) -> DataFrame:
+    """(document_id, line_no, start, end, lang, posterior): the segments of lines that are not in their page's language
+    alone, each with its language and how sure that is."""
+    model = train(table(spark, root, "ingestion_document", "id", F.col("language").alias("label"), F.col("content_text").alias("text")).where("id is not null"))
+    pages = single_rows(spark, root, "ingestion_document", "id", "content_text").where("id is not null")
+    return language_spans(pages, model).withColumn("posterior", F.round("posterior", 6))
+
+
+QUERIES = {"p3_found": p3_found, "p3_pages": p3_pages, "p3_lines": p3_lines, "p3_spans": p3_spans}
 SQL: dict[str, str] = {}

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import batch, hash64, letters_key, map_batches, page_lines
 from corpusmill.session import materialize
 from corpusmill.sources.tables import table
+from corpusmill.sources.views import single_rows
 
 MIN_PAGES = 4
 #: A repeated line stands in at least one of so many pages of its site.
@@ -174,7 +175,7 @@ def p7_lines(spark: SparkSession, root: str) -> DataFrame:
 def p7_clean(spark: SparkSession, root: str) -> DataFrame:
     """(document_id, content_text): each page's text without its repeated lines; null and blank texts stay as they are."""
     found = p7_found(spark, root).groupBy("document_id").agg(F.collect_list("line_no").alias("gone"))
-    pages = table(spark, root, "ingestion_document", "id", "content_text").dropDuplicates(["id"]).withColumnRenamed("id", "document_id")
+    pages = single_rows(spark, root, "ingestion_document", "id", "content_text").withColumnRenamed("id", "document_id")
     kept = F.expr("array_join(filter(split(content_text, '\n', -1), (line, i) -> not array_contains(gone, i)), '\n')")
     return pages.join(found, "document_id", "left").select("document_id", F.when(F.col("gone").isNull(), F.col("content_text")).otherwise(kept).alias("content_text"))
 

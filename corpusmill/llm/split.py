@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import batch, map_batches
-from corpusmill.sources.tables import table
+from corpusmill.sources.views import single_rows
 
 OVERLAP = 120
 #: table -> (text column, limit in characters).
@@ -89,8 +89,8 @@ def split_items(items: DataFrame, limit: int, overlap: int = OVERLAP) -> DataFra
     """(item_id, piece_no, n_pieces, start_at, own_at, end_at, text) of ``items`` (item_id, text) over the limit.
 
     Characters are code points. Items within the limit, null and blank texts give no row. ``text`` is characters
-    start_at to end_at of the item, of which those before own_at repeat the piece before. Rows that come twice count
-    once. No row needs another, so nothing but the duplicates' ids is shuffled.
+    start_at to end_at of the item, of which those before own_at repeat the piece before. ``items`` has each id once. No row
+    needs another, so nothing is shuffled.
     """
     schema = [("item_id", pa.int64()), ("piece_no", pa.int32()), ("n_pieces", pa.int32()), ("start_at", pa.int32()), ("own_at", pa.int32()), ("end_at", pa.int32()), ("text", pa.string())]
 
@@ -107,13 +107,13 @@ def split_items(items: DataFrame, limit: int, overlap: int = OVERLAP) -> DataFra
             yield batch(schema, columns)
 
     long = items.select("item_id", "text").where(F.length("text") > limit)
-    return map_batches(long, run, "item_id long, piece_no int, n_pieces int, start_at int, own_at int, end_at int, text string").dropDuplicates(["item_id", "piece_no"])
+    return map_batches(long, run, "item_id long, piece_no int, n_pieces int, start_at int, own_at int, end_at int, text string")
 
 
 def _all_pieces(spark: SparkSession, root: str) -> DataFrame:
     out = None
     for name, (column, limit) in LIMITS.items():
-        items = table(spark, root, name, "id", column).toDF("item_id", "text")
+        items = single_rows(spark, root, name, "id", column).toDF("item_id", "text")
         cut = split_items(items, limit).select(F.lit(name).alias("item_table"), "*")
         out = cut if out is None else out.unionByName(cut)
     return out

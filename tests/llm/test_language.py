@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm.language import SPELLINGS, fit, label_language, p3_found, p3_pages, romanize
+from corpusmill.llm.language import SPELLINGS, fit, label_language, p3_found, p3_pages, p3_spans, romanize
 from tests.conftest import rows
 
 EN = "The survey covered rural households in the region that had not been visited before. The price of milk rose again."
@@ -51,4 +51,10 @@ def test_queries(spark, tables):
     assert rows(p3_found(spark, root)) == [(1, -1, "ka"), (2, -1, "ka"), (2, 1, "en"), (3, -1, "ka"), (6, 2, "ru")]
     pages = {r.document_id: (r.language, r.confidence) for r in p3_pages(spark, root).collect()}
     assert pages[4] == (None, None) and pages[5] == (None, None) and pages[10][0] == "en" and pages[10][1] > 0.9
+    spans = {(r.document_id, r.line_no): [] for r in p3_spans(spark, root).collect()}
+    for r in p3_spans(spark, root).orderBy("start").collect():
+        spans[r.document_id, r.line_no].append((r.start, r.end, r.lang, r.posterior > 0.9))
+    assert [x[2:] for x in spans[2, 1]] == [("en", True)] and spans[2, 1][0][:2] == (0, len(EN.rstrip(".")))
+    assert {k for k in spans if k[0] == 6} == {(6, 1), (6, 2)} and not any(k[0] == 10 for k in spans)
+    assert rows(p3_spans(spark, tables())) == []
     assert rows(p3_found(spark, tables())) == []
