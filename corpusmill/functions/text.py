@@ -12,14 +12,25 @@ from pyspark.sql.types import StringType
 INVISIBLE = r"[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2069}\x{feff}\x{ad}\x{e000}-\x{f8ff}]"
 SPACES = r"[ \t\n\r\f]+"
 WORD_SPLIT = r"[^\p{L}\p{N}]+"
-# Fixed value: what counts as a sign of statistics in a text.
-STATISTICAL = r"[0-9]+[.,]?[0-9]*\s*%|[0-9]+[.,]?[0-9]*\s*(მლნ|ათასი|მილ|ლარი|million|billion|thousand|GEL|USD|EUR)|[0-9]{4}\s*წელ|[0-9]+[.,][0-9]+|(^|[^\p{L}\p{N}_])[0-9]{2,}($|[^\p{L}\p{N}_])|#[0-9]+|[0-9]+(st|nd|rd|th)($|[^\p{L}\p{N}_])"
+# What counts as a sign of statistics in a text.
+STATISTICAL_FORMS = [
+    r"\d+[.,]?\d*\s*%",
+    r"\d+[.,]?\d*\s*(მლნ|ათასი|მილ|ლარი|ტ\.?\s*ც|ათ\.\s*ადამ)",
+    r"\d{4}\s*წელ",
+    r"\d{1,3}([.,]\d{3})+",
+    r"\d+[.,]\d+",
+    r"(^|[^\p{L}\p{N}_])\d{2,}($|[^\p{L}\p{N}_])",
+    r"\d+[.,]?\d*\s*(million|billion|thousand|GEL|USD|EUR)",
+    r"#\d+",
+    r"\d+(st|nd|rd|th)($|[^\p{L}\p{N}_])",
+]
+STATISTICAL = "|".join(STATISTICAL_FORMS).replace(r"\d", r"\p{Nd}").replace(r"\s", r"[\s\p{Z}]")
 
 
 @F.pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     """Compatibility composition, an Arrow batch at a time."""
-    return values.map(lambda s: None if s is None else s if s.isascii() else unicodedata.normalize("NFKC", s))
+    return values.map(lambda s: None if s is None else s if s.isascii() or unicodedata.is_normalized("NFKC", s) else unicodedata.normalize("NFKC", s))
 
 
 def strip_invisible(text: Column) -> Column:
@@ -28,13 +39,13 @@ def strip_invisible(text: Column) -> Column:
 
 
 def sanitize(text: Column) -> Column:
-    """One blank for several, no invisible characters, trimmed; line breaks stay."""
-    return F.trim(F.regexp_replace(strip_invisible(text), r"[ \t]{2,}", " "))
+    """NFKC, one blank for several, no invisible characters, trimmed; line breaks stay."""
+    return F.trim(F.regexp_replace(strip_invisible(nfkc(text)), r"[ \t]{2,}", " "))
 
 
 def sanitize_block(text: Column) -> Column:
     """``sanitize`` with every run of white space as one blank."""
-    return F.trim(F.regexp_replace(strip_invisible(text), SPACES, " "))
+    return F.trim(F.regexp_replace(strip_invisible(nfkc(text)), SPACES, " "))
 
 
 def collapse(text: Column) -> Column:
@@ -110,6 +121,12 @@ def overlap(words: Column, text: Column) -> Column:
     return F.when((F.size(words) > 0) & (F.coalesce(F.trim(text), F.lit("")) != ""), found / F.size(words)).otherwise(0.0)
 
 
+def normalized_query(query: Column, locale: Column) -> Column:
+    """NFKC and single blanks; in lower case if the locale is English."""
+    plain = collapse(nfkc(query))
+    return F.when(F.coalesce(F.lower(locale).startswith("en"), F.lit(False)), F.lower(plain)).otherwise(plain)
+
+
 def search_patterns(query: Column, most: int = 8) -> Column:
     """The phrase, then its words of 4 characters and, of 5 or more, each with and without the last one."""
     words = F.filter(F.split(F.lower(F.trim(query)), WORD_SPLIT), lambda w: F.length(w) >= 4)

@@ -49,17 +49,29 @@ def tfidf(terms: DataFrame, most: int | None = None, weight: str | None = None)
 
 def curate(rows: DataFrame, overrides: DataFrame, now: Column) -> DataFrame:
     """``rows`` (id, score) under the active ``overrides`` (target_id, action, expires_at, created_at): excluded rows go,
-    boost and demote change the score by a fifth within [0.5, 2], pinned rows are marked. The latest override of an
-    action counts."""
+    boost and demote change the score by a fifth within [0.5, 2], pinned rows are marked. Any active override of an action
+    counts. If ``overrides`` have a ``label`` too, rows get ``renamed``: that of the latest active rename, or null."""
     active = overrides.where(F.col("expires_at").isNull() | (F.col("expires_at") > now))
+    rename = [F.max_by(F.when(F.col("action") == "rename", F.col("label")), F.when(F.col("action") == "rename", F.struct("created_at", "label"))).alias("renamed")] if "label" in overrides.columns else []
     flags = active.groupBy(F.col("target_id").alias("id")).agg(
-        *(F.max(F.col("action") == a).alias(a) for a in ("exclude", "boost", "demote", "pin")),
+        *(F.max(F.col("action") == a).alias(a) for a in ("exclude", "boost", "demote", "pin")), *rename,
     )
     joined = rows.join(flags, "id", "left").where(~F.coalesce("exclude", F.lit(False)))
     factor = F.when(F.coalesce("boost", F.lit(False)), 1.2).otherwise(1.0) * F.when(F.coalesce("demote", F.lit(False)), 0.8).otherwise(1.0)
     return joined.withColumn("curated", scores.clamp_boost(F.col("score") * factor)).withColumn("pinned", F.coalesce("pin", F.lit(False))).drop("exclude", "boost", "demote", "pin")
 
 
+def kept_overrides(overrides: DataFrame, now: Column, days: int = 7) -> DataFrame:
+    """``overrides`` without those that expired more than ``days`` days ago; those without an end stay."""
+    return overrides.where(F.col("expires_at").isNull() | (F.col("expires_at") >= now - F.make_dt_interval(F.lit(days))))
+
+
+def reverted(overrides: DataFrame, deleted: DataFrame) -> DataFrame:
+    """(target_id, action) that ``deleted`` overrides (target_id, action) leave without any in ``overrides``: what has to
+    be undone."""
+    return deleted.select("target_id", "action").distinct().join(overrides.select("target_id", "action"), ["target_id", "action"], "left_anti")
+
+
 def serve_state(documents: DataFrame, runs: DataFrame, excluded: DataFrame) -> DataFrame:
     """(id, serve_state) of ``documents`` (id, fetch_status), ``runs`` (document_id, kind) completed and ``excluded``
     (document_id): dropped unless parsed and not excluded; live without any run or with all three kinds; else partial."""

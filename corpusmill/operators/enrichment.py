@@ -32,41 +32,40 @@ def similar(a: str, b: str) -> float:
     return 2.0 * int(row[-1]) / (len(a) + len(b))
 
 
+def _repeats(term: str, kept: list[str], alike: float) -> bool:
+    """Is a phrase contained in one of ``kept``, or one of these in it, or nearly the same?"""
+    if any(term in other or other in term for other in kept):
+        return True
+    longest = [o for o in kept if 2 * min(len(term), len(o)) >= alike * (len(term) + len(o))]  # others cannot be alike
+    return any(similar(term, other) >= alike for other in longest)
+
+
 def keyphrases(text: str | None, most: int = 15, longest: int = 3, alike: float = 0.9) -> list[tuple[str, float]]:
     """Phrases of up to ``longest`` words within a sentence, ascending by casing, place, frequency, length, share and
     spread; one that contains, is contained in or is like an earlier one is left out."""
-    sentences = [_TOKEN.findall(s) for s in _SENTENCES.split(text or "") if s.strip()]
-    sentences = [[t for t in s if len(t) >= 2 or t[0].isdigit()] for s in sentences]
-    total = sum(map(len, sentences))
-    if not total:
+    listed = ([w for w in _TOKEN.findall(s) if len(w) > 1 or w.isdigit()] for s in _SENTENCES.split(text or "") if s.strip())
+    # one entry an occurrence, in the order of the text: the phrase, the number of its sentence and that sentence's length
+    found = [(" ".join(words[i : i + n]), number, len(words)) for number, words in enumerate(listed) for i in range(len(words)) for n in range(1, min(longest, len(words) - i) + 1)]
+    if not found:
         return []
-    times: dict[str, int] = defaultdict(int)
-    first: dict[str, int] = {}
-    spread: dict[str, set] = defaultdict(set)
-    related: dict[str, float] = defaultdict(float)
-    for number, own in enumerate(sentences):
-        for start in range(len(own)):
-            for size in range(1, min(longest, len(own) - start) + 1):
-                term = " ".join(own[start : start + size])
-                times[term] += 1
-                first.setdefault(term, number)
-                spread[term].add(number)
-                related[term] += 1.0 / len(own)
-    most_times = max(times.values())
-    ranked = []
-    for term, n in times.items():
-        letters = [c for c in term if c.isalpha()]
-        upper = sum(c.isupper() for c in letters)
-        casing = 1.0 + upper / len(letters) if upper else 1.0
-        ranked.append((casing / (1.0 + first[term]) * (1 + n / most_times) * (1 + related[term] / n) * (1 + n / total) * (1 + len(spread[term]) / n), term))
-    ranked.sort(key=lambda x: x[0])
+    total = sum({number: size for _, number, size in found}.values())
+    phrases: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    for phrase, number, size in found:
+        phrases[phrase].append((number, size))
+    often = max(map(len, phrases.values()))
+
+    def score(phrase: str, places: list[tuple[int, int]]) -> float:
+        n, letters = len(places), [c for c in phrase if c.isalpha()]
+        casing = 1.0 + sum(map(str.isupper, letters)) / max(1, len(letters))
+        related = sum(1.0 / size for _, size in places) / n
+        return casing / (1.0 + places[0][0]) * (1 + n / often) * (1 + related) * (1 + n / total) * (1 + len({number for number, _ in places}) / n)
+
     out: list[tuple[str, float]] = []
-    for score, term in ranked:
-        if len(out) == most:
-            break
-        low = term.lower()
-        if not any(low in o.lower() or o.lower() in low or (2 * min(len(low), len(o)) >= alike * (len(low) + len(o)) and similar(low, o.lower()) >= alike) for o, _ in out):
-            out.append((term, score))
+    for value, phrase in sorted(((score(p, places), p) for p, places in phrases.items()), key=lambda x: x[0]):
+        if not _repeats(phrase.lower(), [o.lower() for o, _ in out], alike):
+            out.append((phrase, value))
+            if len(out) == most:
+                break
     return out
 
 
@@ -95,30 +94,34 @@ def kept_keywords(keyword: Column, stop_words: list[str]) -> Column:
     return (F.length(keyword) >= 3) & ~F.lower(keyword).isin(stop_words) & ~keyword.rlike("^[0-9]+$")
 
 
-def page_rank(edges: DataFrame, nodes: DataFrame, rounds: int = 20, damping: float = 0.85, keep_every: int = 5) -> DataFrame:
+def page_rank(edges: DataFrame, nodes: DataFrame, rounds: int = 20, damping: float = 0.85, tolerance: float | None = None) -> DataFrame:
     """(id, rank) of ``nodes`` (id) by ``edges`` (src, dst) between them; repeated edges and loops count once and not at
-    all; the rank of nodes without an edge out is spread over all. Ranks sum to 1.
+    all; the rank of nodes without an edge out is spread over all. Ranks sum to 1. With a ``tolerance`` rounds end when
+    ranks change by no more in all.
 
-    Every ``keep_every`` rounds the ranks are written to the shared folder, which cuts the lineage. A page that a third of
-    all edges lead to gets one partial sum a task.
+    Nodes and edges are written once, and each round's ranks are written to the shared folder, so a round reads two tables
+    and no plan grows. A page that a third of all edges lead to gets one partial sum a task.
     """
-    known = nodes.select("id").distinct()
+    known = materialize(nodes.select("id").distinct(), "nodes")
     inside = edges.join(known.select(F.col("id").alias("src")), "src", "left_semi").join(known.select(F.col("id").alias("dst")), "dst", "left_semi").where("src <> dst").distinct()
-    out = inside.groupBy("src").agg(F.count("*").alias("degree"))
-    linked = materialize(inside.join(out, "src"), "edges")
-    n = known.count()
-    ranks = known.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    sinks = materialize(known.join(out, known["id"] == out["src"], "left_anti").select("id"), "sinks")
+    inside = materialize(inside, "edges-inside")
+    linked = materialize(inside.join(inside.groupBy("src").agg(F.count("*").alias("degree")), "src"), "edges")
+    n = max(known.count(), 1)
+    ranks = known.withColumn("rank", F.lit(1.0 / n))
     for number in range(1, rounds + 1):
-        given = linked.join(ranks, linked["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("given"))
-        lost = ranks.join(sinks, "id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        ranks = (
-            known.join(given.withColumnRenamed("dst", "id"), "id", "left")
-            .join(F.broadcast(lost))
-            .select("id", ((1 - damping) / n + damping * (F.coalesce("given", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        )
-        if number % keep_every == 0 or number == rounds:
-            ranks = materialize(ranks, f"ranks-{number}")
+        given = linked.join(ranks, linked["src"] == ranks["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("degree")).alias("given"))
+        given = materialize(given, f"given-{number}")
+        passed_on = given.agg(F.coalesce(F.sum("given"), F.lit(0.0)).alias("passed")).first().passed  # what sinks keep is the rest of 1
+        own = (1 - damping) / n + damping * (F.coalesce("given", F.lit(0.0)) + F.lit((1.0 - passed_on) / n))
+        new = known.join(given, "id", "left").select("id", own.alias("rank"))
+        if tolerance is not None:
+            new = materialize(new, f"ranks-{number}")
+            moved = new.join(ranks.withColumnRenamed("rank", "old"), "id").agg(F.coalesce(F.sum(F.abs(F.col("rank") - F.col("old"))), F.lit(0.0)).alias("moved")).first().moved
+            ranks = new
+            if moved <= tolerance:
+                break
+        else:
+            ranks = new
     return ranks
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -15,6 +17,7 @@ from pyspark.sql import types as T
 from corpusmill.functions import text, urls
 
 CHUNK_CHARS, CHUNK_OVERLAP = 800, 120
+_BLANK_LINE, _BLANK = re.compile(r"\n(?=\n)"), re.compile(" ")
 
 
 def fixed_size_pieces(value: str | None, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> list[str]:
@@ -23,23 +26,22 @@ def fixed_size_pieces(value: str | None, size: int = CHUNK_CHARS, overlap: int =
     whole = (value or "").strip()
     if len(whole) <= size:
         return [whole] if whole else []
-    out, start = [], 0
-    while start < len(whole):
-        end, resume = min(start + size, len(whole)), -1
-        if end < len(whole):
-            least = start + size // 4
-            paragraph = whole.rfind("\n\n", 0, end + 2)
-            blank = whole.rfind(" ", 0, end + 1)
-            if paragraph > least:
-                end = resume = paragraph + 2
-            elif blank > least:
-                end, resume = blank, blank + 1
-        if piece := whole[start:end].strip():
-            out.append(piece)
-        if end >= len(whole):
-            break
-        start = max(resume if resume >= 0 else end - overlap, start + 1)
-    return out
+    # candidate boundaries of the whole text: where they are, how much of them stays with the piece, how much is skipped
+    kinds = [([m.start() for m in _BLANK_LINE.finditer(whole)], 2, 2), ([m.start() for m in _BLANK.finditer(whole)], 0, 1)]
+
+    def boundary(start: int) -> tuple[int, int]:
+        """Where the piece from ``start`` ends and where the next one starts."""
+        limit, found = start + size, []
+        for places, kept, skipped in kinds:
+            before = bisect_right(places, limit)
+            found += [(places[before - 1] + kept, places[before - 1] + skipped)] if before and places[before - 1] > start + size // 4 else []
+        return found[0] if found else (limit, max(limit - overlap, start + 1))
+
+    cuts = [(0, *boundary(0))]
+    while len(whole) - cuts[-1][2] > size:
+        cuts.append((cuts[-1][2], *boundary(cuts[-1][2])))
+    spans = [(start, end) for start, end, _ in cuts] + [(cuts[-1][2], len(whole))]
+    return [piece for start, end in spans if start < len(whole) and (piece := whole[start:end].strip())]
 
 
 def chunk_texts(documents: DataFrame, key: str, column: str, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
@@ -272,6 +274,7 @@ def resume_frontier(queued: DataFrame, existing: DataFrame, most: int = 500) ->
 
 def page_kind(url: Column) -> tuple[Column, Column]:
     """A page's kind by its address and how sure that is; null where the address says nothing."""
+    # The kinds, their order and how sure each is.
     path = F.lower(urls.url_path(url))
     rules = [
         (path.contains("/news/") | path.contains("/newsroom/"), "news", 0.95),

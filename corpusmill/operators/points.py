@@ -29,10 +29,10 @@ def replace_points(points: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def patch_payload(points: DataFrame, patches: DataFrame) -> DataFrame:
-    """``points`` with the serve_state, page_kind and score_boost of ``patches`` (document_id, ...) where these are not
-    null; vectors stay. Of several patches of a document one with the highest values wins."""
+    """``points`` with the serve_state, page_kind and score_boost of ``patches`` (document_id, patched_at, ...) where these
+    are not null; vectors stay. Of several patches of a document the latest counts, as a whole."""
     fields = ("serve_state", "page_kind", "score_boost")
-    one = patches.groupBy("document_id").agg(*(F.max(f).alias(f"new_{f}") for f in fields))
+    one = patches.groupBy("document_id").agg(F.max(F.struct("patched_at", *fields)).alias("p")).select("document_id", *(F.col(f"p.{f}").alias(f"new_{f}") for f in fields))
     joined = points.join(one, "document_id", "left")
     payload = F.col("payload")
     for field in fields:
@@ -64,13 +64,20 @@ def pending(documents: DataFrame, ledger: DataFrame, kind: str, version: str) ->
 
 
 def contained(queries: DataFrame, keywords: DataFrame, gram: int = 3) -> DataFrame:
-    """(query_id, keyword) of ``queries`` (query_id, query) and ``keywords`` (keyword): keywords of at least ``gram``
-    characters that the query has as a substring. They meet by an equi-join on a keyword's first characters, and only
-    these pairs are compared."""
-    short = keywords.select("keyword").distinct().where(F.length("keyword") >= gram).withColumn("gram", F.substring("keyword", 1, gram))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("query") - gram + 1))
-    grams = queries.where("query is not null").select("query_id", "query", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("query", i, F.lit(gram))))).alias("gram"))
-    return grams.join(short, "gram").where(F.contains("query", F.col("keyword"))).select("query_id", "keyword").distinct()
+    """(query_id, keyword) of ``queries`` (query_id, query) and ``keywords`` (keyword): keywords that the query has as a
+    substring; empty ones are in none. They meet by an equi-join on a keyword's rarest ``gram`` characters in a row, or on
+    all of a shorter one, and only these pairs are compared; so characters that many queries or keywords have join little."""
+
+    def grams(value: str, size) -> Column:
+        starts = F.sequence(F.lit(1), F.length(value) - size + 1)
+        return F.when(F.length(value) >= size, F.array_distinct(F.transform(starts, lambda i: F.substring(value, i, size)))).otherwise(F.array().cast("array<string>"))
+
+    asked = queries.where("query is not null").select("query_id", "query", F.explode(F.concat(*(grams("query", F.lit(n)) for n in range(1, gram + 1)))).alias("gram"))
+    often = asked.groupBy("gram").agg(F.count("*").alias("n"))
+    words = keywords.select("keyword").distinct().where("keyword <> ''")
+    own = words.select("keyword", F.explode(grams("keyword", F.least(F.lit(gram), F.length("keyword")))).alias("gram"))
+    rarest = own.join(often, "gram", "left").groupBy("keyword").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0").select("keyword", "r.gram")
+    return asked.join(rarest, "gram").where(F.contains("query", F.col("keyword"))).select("query_id", "keyword").distinct()
 
 
 def renamed(labels: DataFrame, renames: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusmill.session import materialize
 from corpusmill.sources.tables import table
 
 #: Keys of one bucket are sorted together: at most this many distinct keys a task group, so no group is unbounded.
@@ -96,7 +97,7 @@ def orphan_references(sources: list[ReferenceSource], parents: DataFrame, deleti
     for source in sources:
         rows = source.rows.select(F.lit(source.name).alias("ref_table"), "ref_id", "key", "ref_time")
         refs = rows if refs is None else refs.unionByName(rows)
-    refs = refs.distinct()
+    refs = materialize(refs.distinct(), "references")
     no_id = refs.where("key is null").select("ref_table", "ref_id", "ref_time", F.lit("no_id").alias("reason"))
     named = refs.where("key is not null")
 
@@ -104,7 +105,7 @@ def orphan_references(sources: list[ReferenceSource], parents: DataFrame, deleti
     born = parents.where("id is not null").groupBy(F.col("id").alias("key")).agg(F.min("created_at").alias("born"))
     died = deletions.where("document_id is not null").groupBy(F.col("document_id").alias("key")).agg(F.min("deleted_at").alias("died"))
     state = missing_keys(keys, key_runs(born)).join(born, "key", "left").join(died, "key", "left")
-    suspect = state.where("missing or born > first or died <= last")
+    suspect = materialize(state.where("missing or born > first or died <= last"), "suspect-keys")
 
     spark = parents.sparkSession
     total = named.count()

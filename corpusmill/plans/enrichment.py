@@ -12,7 +12,7 @@ from corpusmill.session import materialize
 from corpusmill.sources.tables import table
 from corpusmill.sources.views import WITH, links, once, pages
 
-ROUNDS = 5
+ROUNDS = 20
 
 
 def keywords(spark: SparkSession, root: str) -> DataFrame:
@@ -25,7 +25,7 @@ def keywords(spark: SparkSession, root: str) -> DataFrame:
 
 
 def page_rank(spark: SparkSession, root: str) -> DataFrame:
-    """(id, rank): five rounds over resolved links between parsed pages that are no navigation."""
+    """(id, rank): twenty rounds over resolved links between parsed pages that are no navigation."""
     nodes = pages(spark, root, "fetch_status", "page_kind").where("fetch_status = 'parsed' and page_kind <> 'navigation'").select("id")
     edges = links(spark, root, "source_doc_id", "target_doc_id").where("target_doc_id is not null").select(F.col("source_doc_id").alias("src"), F.col("target_doc_id").cast("long").alias("dst"))
     return enrichment.page_rank(edges, nodes, ROUNDS).select("id", F.round("rank", 9).alias("rank"))

@@ -32,7 +32,7 @@ def points_deleted(spark: SparkSession, root: str) -> DataFrame:
 
 def payload_patch(spark: SparkSession, root: str) -> DataFrame:
     """(serve_state, boost, n_points): removed pages' points patched to dropped, at half their score."""
-    patches = table(spark, root, "document_deletion", "document_id").select("document_id", F.lit("dropped").alias("serve_state"), F.lit(None).cast("string").alias("page_kind"), F.lit(0.5).alias("score_boost"))
+    patches = table(spark, root, "document_deletion", "document_id", "deleted_at").select("document_id", F.col("deleted_at").alias("patched_at"), F.lit("dropped").alias("serve_state"), F.lit(None).cast("string").alias("page_kind"), F.lit(0.5).alias("score_boost"))
     out = points.patch_payload(_points(spark, root), patches)
     return out.groupBy(F.col("payload.serve_state").alias("serve_state"), F.col("payload.score_boost").alias("boost")).agg(F.count("*").alias("n_points"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import scores, text, urls
+from corpusmill.operators.catalog import ranked
 from corpusmill.sources.tables import table
 from corpusmill.sources.views import AS_OF, WITH, as_of, chunks, links, once, pages
 
@@ -75,8 +76,8 @@ def sanitized(spark: SparkSession, root: str) -> DataFrame:
 
 
 def normalized_queries(spark: SparkSession, root: str) -> DataFrame:
-    """(id, query, patterns) of each chat turn: NFKC, single blanks, lower case; at most 8 search patterns."""
-    plain = F.lower(text.collapse(text.nfkc(F.col("user_message"))))
+    """(id, query, patterns) of each chat turn: NFKC, single blanks, English ones in lower case; at most 8 search patterns."""
+    plain = text.normalized_query(F.col("user_message"), text.script_language(F.col("user_message")))
     return once(spark, root, "chat_turn", "id", "user_message").select("id", plain.alias("query"), F.array_join(text.search_patterns(F.coalesce(plain, F.lit(""))), "|").alias("patterns"))
 
 
@@ -99,8 +100,8 @@ def freshness(spark: SparkSession, root: str) -> DataFrame:
 def confidence_tiers(spark: SparkSession, root: str) -> DataFrame:
     """(turn_id, top, tier, route): how sure each turn's results are."""
     hits = once(spark, root, "retrieval_hit", "hit_id", "turn_id", "score", key="hit_id")
-    best = hits.groupBy("turn_id").agg(F.slice(F.reverse(F.array_sort(F.collect_list("score"))), 1, 2).alias("top"))
-    rows = best.select("turn_id", F.try_element_at("top", F.lit(1)).alias("top"), F.try_element_at("top", F.lit(2)).alias("second"))
+    best = ranked(hits, ["turn_id"], [F.desc("score"), F.asc("hit_id")], "place", 2)
+    rows = best.groupBy("turn_id").agg(F.max(F.when(F.col("place") == 1, F.col("score"))).alias("top"), F.max(F.when(F.col("place") == 2, F.col("score"))).alias("second"))
     tier = scores.confidence(F.col("top"), F.col("second"))
     return rows.select("turn_id", F.round("top", 6).alias("top"), tier.alias("tier"), scores.route(tier).alias("route"))
 
@@ -152,7 +153,6 @@ select id, case when coalesce(t, '') = '' then 'ka' when g >= l then 'ka' else '
  case when length(trim(regexp_replace(lead_text, {_WS}, ' ', 'g'))) <= 120 then trim(regexp_replace(lead_text, {_WS}, ' ', 'g')) else
   case when length(regexp_extract(substring(trim(regexp_replace(lead_text, {_WS}, ' ', 'g')), 1, 120), '^(.*) ', 1)) > 60 then regexp_extract(substring(trim(regexp_replace(lead_text, {_WS}, ' ', 'g')), 1, 120), '^(.*) ', 1) else substring(trim(regexp_replace(lead_text, {_WS}, ' ', 'g')), 1, 120) end || '...' end as excerpt,
  case when language = 'en' then coalesce(nullif(trim(summary_en), ''), nullif(trim(summary_ka), '')) else coalesce(nullif(trim(summary_ka), ''), nullif(trim(summary_en), '')) end as summary from pages""",
-    "sanitized": f"""select doc_id, trim(regexp_replace(regexp_replace(text, '{_INVISIBLE}', '', 'g'), '[ \\t]{{2,}}', ' ', 'g')) as sanitized, trim(regexp_replace(regexp_replace(text, '{_INVISIBLE}', '', 'g'), {_WS}, ' ', 'g')) as block from documents""",
     "seed_urls": """select id, unnest(range(len(s))) as seed_no, unnest(s) as seed_url from (select id, from_json(seed_urls, '["VARCHAR"]') as s from ingestion_corpus)""",
     "freshness": WITH + f""", a as (select *, (epoch_us(timestamp '{AS_OF}') - epoch_us(fetched_at)) / 86400000000.0 as age from pages)
 select id, round(case when age >= 0 then exp(-age / 365.0) else 0.0 end, 6) as decay, cast(case when floor(age) <= 30 then 0.08 when floor(age) <= 180 then 0.04 when floor(age) <= 365 then 0.02 else 0.0 end as double) as boost,

@@ -86,11 +86,16 @@ def _clean_up() -> None:
             shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
+def forget_at_exit(*paths: str) -> None:
+    """Tables at ``paths`` go with the process, where they are local."""
+    _WRITTEN.extend(paths)
+
+
 def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as a table into the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpusmill/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    forget_at_exit(path)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

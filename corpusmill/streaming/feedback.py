@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusmill.functions import scores
-from corpusmill.session import materialize, shared_dir, ship
+from corpusmill.session import forget_at_exit, shared_dir, ship
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -45,6 +45,7 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     """All that is there now, through the stream into a table of the shared folder."""
     spark = stream.sparkSession
     path = f"{shared_dir(spark)}/corpusmill/{name}-{uuid.uuid4().hex}"
+    forget_at_exit(path, path + "-state")
     query: StreamingQuery = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", path + "-state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
@@ -57,12 +58,18 @@ def upsert(state: DataFrame, changes: DataFrame, keys: list[str], order: str) ->
     return first_per_group(state.unionByName(changes), keys, [F.desc(order)])
 
 
-def route_batches(good: Callable[[DataFrame, int], None], bad: Callable[[DataFrame, int], None], valid: str) -> Callable[[DataFrame, int], None]:
+def route_batches(good: Callable[[DataFrame, int], None], bad: Callable[[DataFrame, int], None], valid: str, name: str = "stream") -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: rows for which ``valid`` holds go to ``good``, the others, nulls too, to ``bad``, the
-    dead letters. Each batch is written out first, so both see the same rows."""
+    dead letters. Each batch is written out first, so both see the same rows; a batch that is done again writes over what
+    it wrote, by the stream's ``name`` and its number."""
 
     def each(batch: DataFrame, number: int) -> None:
-        rows = materialize(batch.withColumn("_valid", F.coalesce(F.expr(valid), F.lit(False))), f"batch-{number}")
+        spark = batch.sparkSession
+        path = f"{shared_dir(spark)}/corpusmill/{name}/batch-{number}"
+        forget_at_exit(path)
+        marked = batch.withColumn("_valid", F.coalesce(F.expr(valid), F.lit(False)))
+        marked.write.mode("overwrite").parquet(path)
+        rows = spark.read.schema(marked.schema).parquet(path)
         good(rows.where("_valid").drop("_valid"), number)
         bad(rows.where("not _valid").drop("_valid"), number)
 
