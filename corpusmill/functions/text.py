@@ -81,6 +81,32 @@ def script_language(text: Column, hint: Column | None = None) -> Column:
     )
 
 
+# Usual spellings of the languages' names and three-letter codes.
+LANGUAGE_NAMES = {
+    "ka": ["kat", "geo", "georgian", "ქართული"],
+    "en": ["eng", "english", "ინგლისური"],
+    "ru": ["rus", "russian", "русский"],
+    "de": ["deu", "ger", "german", "deutsch"],
+}
+
+
+def language_code(label: Column) -> Column:
+    """The language a label names, without case, blanks and region; a label that is no known spelling stays as it is, null
+    and blank ones are null."""
+    plain = F.lower(F.trim(F.regexp_replace(label, r"[-_@.(].*$", "")))
+    out = F.when(plain != "", plain)
+    for code, names in LANGUAGE_NAMES.items():
+        out = F.when(plain.isin(names), code).otherwise(out)
+    return out
+
+
+def language_code_sql(label: str) -> str:
+    """``language_code`` in SQL."""
+    plain = f"lower(trim(regexp_replace({label}, '[-_@.(].*$', '')))"
+    cases = " ".join("when {p} in ({n}) then '{c}'".format(p=plain, n=", ".join(f"'{n}'" for n in names), c=code) for code, names in LANGUAGE_NAMES.items())
+    return f"(case {cases} else nullif({plain}, '') end)"
+
+
 def is_statistical(text: Column) -> Column:
     return F.coalesce(text.rlike(STATISTICAL), F.lit(False))
 

@@ -7,7 +7,6 @@ the queries of a block are broadcast, each task keeps its own best k of each que
 from __future__ import annotations
 
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +32,18 @@ def hash_embedding(value: Column, dimensions: int = 384) -> Column:
     return scores.normalized(scores.once(scores.once(F.sha2(F.coalesce(value, F.lit("")), 256), numbers), repeated))
 
 
+def vector_matrix(lists: pa.Array, size: int) -> np.ndarray:
+    """The vectors of an Arrow list column at length 1; one that is null, of another size or of length 0 is all zero."""
+    lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    data = np.zeros((len(lists), size))
+    fits = lengths == size
+    if size and fits.any():
+        values = lists.filter(pa.array(fits)).flatten().fill_null(0).to_numpy(zero_copy_only=False)
+        data[fits] = values.reshape(-1, size)
+    norm = np.linalg.norm(data, axis=1, keepdims=True)
+    return np.divide(data, norm, out=np.zeros_like(data), where=norm > 0)
+
+
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = QUERY_BLOCK, apart: str | None = None) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` nearest ``vectors`` (id, vector) of each of ``queries`` (query_id, vector)
     by cosine; exact; ties by id. A vector of another length than the query's, null or of length 0 is at cosine 0.
@@ -52,28 +63,24 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = QUER
             ids, matrix, own_group = shared.value
             lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
             unit = np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
-            best: list[list[tuple[float, int]]] = [[] for _ in ids]
+            best, best_id = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
             for batch in batches:
-                keys, lists = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-                for low in range(0, len(keys), _SLICE):
-                    own_keys, own_lists = keys[low : low + _SLICE], lists[low : low + _SLICE]
-                    data = np.array([v if v is not None and len(v) == unit.shape[1] else np.zeros(unit.shape[1]) for v in own_lists], np.float64)
-                    size = np.linalg.norm(data, axis=1, keepdims=True)
-                    similarity = unit @ np.divide(data, size, out=np.zeros_like(data), where=size > 0).T
+                for low in range(0, batch.num_rows, _SLICE):
+                    part_ = batch.slice(low, _SLICE)
+                    keys, data = part_.column(0).to_numpy(), vector_matrix(part_.column(1), unit.shape[1])
+                    similarity = np.round(unit @ data.T, 12)
                     if own_group is not None:
-                        similarity = np.where(own_group[:, None] == batch.column(2).to_numpy()[None, low : low + _SLICE], -np.inf, similarity)
-                    order = np.lexsort((np.broadcast_to(own_keys, similarity.shape), -similarity), axis=1)[:, :k]
-                    for q, places in enumerate(order):
-                        for at in places:
-                            if similarity[q, at] == -np.inf:
-                                break
-                            item = (float(similarity[q, at]), -int(own_keys[at]))
-                            if len(best[q]) < k:
-                                heapq.heappush(best[q], item)
-                            elif item > best[q][0]:
-                                heapq.heapreplace(best[q], item)
-            found = [(q, -key, score) for q, own_best in zip(ids, best, strict=True) for score, key in own_best]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], names=["query_id", "id", "score"])
+                        similarity[own_group[:, None] == part_.column(2).to_numpy()[None, :]] = -np.inf
+                    value, key = np.concatenate([best, similarity], axis=1), np.concatenate([best_id, np.broadcast_to(keys, similarity.shape)], axis=1)
+                    least = np.partition(value, -k, axis=1)[:, -k]
+                    row, at = np.nonzero(value >= least[:, None])
+                    order = np.lexsort((key[row, at], -value[row, at], row))
+                    row, at = row[order], at[order]
+                    place = np.arange(len(row)) - np.searchsorted(row, row)
+                    row, at, place = (x[place < k] for x in (row, at, place))
+                    best[row, place], best_id[row, place] = value[row, at], key[row, at]
+            found = best > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), found.sum(axis=1))), pa.array(best_id[found]), pa.array(best[found])], names=["query_id", "id", "score"])
 
         columns = [F.col("id").cast("long").alias("id"), F.col("vector"), *([F.coalesce(F.col(apart).cast("long"), F.lit(-(2**62))).alias("apart")] if apart else [])]
         return vectors.select(*columns).where("id is not null").mapInArrow(run, "query_id long, id long, score double")
