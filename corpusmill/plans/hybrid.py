@@ -113,9 +113,9 @@ def keyword_first(spark: SparkSession, root: str) -> DataFrame:
 
 
 def multi_query(spark: SparkSession, root: str) -> DataFrame:
-    """(query_id, id, score, rank): the message, its words in lower case and its first pattern as three queries at once."""
+    """(query_id, id, score, rank): the message, the same in lower case, and without punctuation, as three queries at once."""
     queries = _queries(spark, root)
-    variants = queries.select("query_id", F.posexplode(F.array(F.col("query"), F.lower("query"), F.array_join(hybrid.search_words(F.col("query")), " "))).alias("variant", "q"))
+    variants = queries.select("query_id", F.posexplode(F.array(F.col("query"), F.lower("query"), F.regexp_replace(F.lower("query"), text.WORD_SPLIT, " "))).alias("variant", "q"))
     variants = variants.select("query_id", "variant", hash_embedding(F.col("q"), DIMENSIONS).alias("vector"))
     vectors = _points(spark, root).where("text is not null").select("id", hash_embedding(F.col("text"), DIMENSIONS).alias("vector"))
     return hybrid.union_queries(variants, vectors, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
@@ -130,8 +130,9 @@ _LETTERS = "length(user_message) - length(regexp_replace(user_message, '[{r}]',
 _PATTERN_WORDS = "list_filter(regexp_split_to_array(lower(trim(user_message)), '[^\\p{L}\\p{N}]+'), lambda t: length(t) >= 4)"
 _BASE = (
     WITH
-    + f", q as (select id as query_id, user_message as query, case when {_LETTERS.format(r='ა-ჿ')} >= {_LETTERS.format(r='A-Za-z')} then 'ka' else 'en' end as locale, {_vector('user_message')} as v, {_WORDS.format(c='user_message')} as words,"
-    + f" list_transform(list_distinct(list_concat([trim(user_message)], flatten(list_transform({_PATTERN_WORDS}, lambda w: case when length(w) >= 5 then [w, w[1:length(w) - 1]] else [w] end)))), lambda p: lower(p)) as all_patterns from turns where id % 50 = 0 and trim(user_message) <> ''),"
+    + f", q0 as (select id as query_id, user_message as query, case when {_LETTERS.format(r='ა-ჿ')} >= {_LETTERS.format(r='A-Za-z')} then 'ka' else 'en' end as locale, {_vector('user_message')} as v, {_WORDS.format(c='user_message')} as words,"
+    + f" list_concat([trim(user_message)], flatten(list_transform({_PATTERN_WORDS}, lambda w: case when length(w) >= 5 then [w, w[1:length(w) - 1]] else [w] end))) as listed from turns where id % 50 = 0 and trim(user_message) <> ''),"
+    + " q as (select *, list_transform(list_filter(listed, lambda p, i: list_position(listed, p) = i), lambda p: lower(p)) as all_patterns from q0),"
     + f" pt as (select c.id, c.document_id, sequence_no, c.text, canonical_url as url, title, lead_text as lead, coalesce(nullif(trim(summary_ka), ''), nullif(trim(summary_en), '')) as summary, {text.language_code_sql('p.language')} as language, coalesce(fetch_status = 'parsed' and coalesce(page_kind, 'unknown') <> 'navigation' and p.id not in (select document_id from document_deletion where document_id is not null), false) as citable from chunks c join pages p on p.id = c.document_id)"
 )
 
@@ -160,5 +161,5 @@ SQL = {
     "hybrid_reranked": _ALL + _FUSED + _RERANKED + " select query_id, id, score, rank from h",
     "hybrid_confidence": _ALL + _FUSED + _RERANKED + ", t as (select query_id, max(score) filter (rank = 1) as top, max(score) filter (rank = 2) as second from h group by 1), c as (select query_id, top, case when top > 0.75 and top - coalesce(second, 0.0) > 0.05 then 'HIGH' when top > 0.55 then 'MEDIUM' when top > 0.35 then 'LOW' else 'NONE' end as tier from t) select query_id, round(top, 6) as top, tier, case tier when 'HIGH' then 'cite' when 'MEDIUM' then 'suggest' when 'LOW' then 'clarify' else 'refuse' end as route from c",
     "keyword_first": _ALL + f", j as (select query_id, id, rank as place, 0 as source from keyword union all select query_id, id, rank, 1 from body), w as (select j.query_id, url, source, place from j join pt using (id) where url is not null qualify row_number() over (partition by j.query_id, lower(url) order by source, place, url) = 1) select query_id, url, source, row_number() over (partition by query_id order by source, place, url) as rank from w qualify rank <= {LIMIT}",
-    "multi_query": _ALL + f", vq as (select query_id, unnest([query, lower(query), array_to_string(words, ' ')]) as t from q), vv as (select query_id, {_vector('t')} as v from vq), near as (select query_id, vv.v, id, list_cosine_similarity(vv.v, x.xv) as score from vv join (select id, {_vector('text')} as xv from pt where text is not null) x on true qualify row_number() over (partition by query_id, vv.v order by round(score, 12) desc, id) <= 10), b as (select query_id, id, round(max(score), 9) as score from near group by all) select query_id, id, round(score, 6) as score, row_number() over (partition by query_id order by score desc, id) as rank from b qualify rank <= 10",
+    "multi_query": _ALL + f", vq as (select query_id, unnest([query, lower(query), regexp_replace(lower(query), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')]) as t from q), vv as (select query_id, {_vector('t')} as v from vq), near as (select query_id, vv.v, id, list_cosine_similarity(vv.v, x.xv) as score from vv join (select id, {_vector('text')} as xv from pt where text is not null) x on true qualify row_number() over (partition by query_id, vv.v order by round(score, 12) desc, id) <= 10), b as (select query_id, id, round(max(score), 9) as score from near group by all) select query_id, id, round(score, 6) as score, row_number() over (partition by query_id order by score desc, id) as rank from b qualify rank <= 10",
 }
