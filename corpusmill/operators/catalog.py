@@ -90,6 +90,63 @@ def match_clusters(queries: DataFrame, keywords: DataFrame, rank_most: int = 30)
     return words.join(keywords.where(F.col("rank") <= rank_most), ["language", "keyword"]).groupBy("query_id", "cluster").agg(F.sum("score").alias("raw"))
 
 
+def match_signals(queries: DataFrame, keywords: DataFrame, labels: DataFrame, forms: DataFrame, rank_most: int = 30) -> DataFrame:
+    """(query_id, cluster, keyword, label, entity, expansion): the four signals of clusters for ``queries`` (query_id,
+    language, query, in lower case): the scores of ``keywords`` (cluster, language, keyword, rank, score) that the query
+    contains; 1 if it contains one of the cluster's ``labels`` (cluster, label); the scores of keywords that contain one of
+    the query's ``forms`` (query_id, language, kind: entity or expansion, form). Signals that a cluster lacks are 0.
+
+    What contains what is found by equi-joins on characters in a row (``points.contained``), not by comparing all pairs."""
+    from corpusmill.operators.points import contained
+
+    top = keywords.where(F.col("rank") <= rank_most)
+    asked = queries.where(F.length("query") >= 3)
+    named = contained(asked.select("query_id", "query"), top.select("keyword")).join(asked.select("query_id", "language"), "query_id").join(top, ["language", "keyword"])
+    parts = [named.select("query_id", "cluster", F.lit("keyword").alias("signal"), "score")]
+    low = labels.select("cluster", F.lower("label").alias("label")).where("label <> ''")
+    called = contained(asked.select("query_id", "query"), low.select(F.col("label").alias("keyword"))).join(low, F.col("keyword") == F.col("label"))
+    parts.append(called.select("query_id", "cluster").distinct().select("query_id", "cluster", F.lit("label").alias("signal"), F.lit(1.0).alias("score")))
+    own = forms.select("query_id", "language", "kind", F.lower("form").alias("form")).where(F.length("form") >= 3).distinct()
+    words = top.select(F.col("keyword")).distinct()
+    inside = contained(words.select(F.col("keyword").alias("query_id"), F.col("keyword").alias("query")), own.select(F.col("form").alias("keyword"))).toDF("keyword", "form")
+    shaped = own.join(inside, "form").join(top, ["language", "keyword"])
+    parts.append(shaped.select("query_id", "cluster", F.col("kind").alias("signal"), "score"))
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    return union.groupBy("query_id", "cluster").pivot("signal", ["keyword", "label", "entity", "expansion"]).agg(F.sum("score")).fillna(0.0)
+
+
+def signal_score(weights: tuple[float, float, float, float] = (0.35, 0.25, 0.3, 0.1), at: float = 5.0) -> Column:
+    """The weighted sum of the four signals, each saturated."""
+    return sum((scores.saturated(F.col(name), at) * weight for name, weight in zip(("keyword", "label", "entity", "expansion"), weights, strict=True)), F.lit(0.0))
+
+
+def best_of_signals(parts: list[DataFrame], most: int) -> DataFrame:
+    """(query_id, cluster, score, rank) of several lists (query_id, cluster, score): each cluster's best score."""
+    union = parts[0].select("query_id", "cluster", "score")
+    for part in parts[1:]:
+        union = union.unionByName(part.select("query_id", "cluster", "score"))
+    best = union.groupBy("query_id", "cluster").agg(F.max("score").alias("score"))
+    return ranked(best, ["query_id"], [F.desc("score"), F.asc("cluster")], "rank", most)
+
+
+# The kinds of a topic's static links in their order, and how many of each count.
+STATIC_LINKS = {"specific": 6, "portal": 2, "statistics": 8, "metadata": 8, "methodology": 8, "sectoral": 8, "news": 8}
+
+
+def static_links(topics: DataFrame, links: DataFrame, most: int = 8) -> DataFrame:
+    """(query_id, url, kind, rank) of ``topics`` (query_id, topic, latest) by ``links`` (topic, kind, url, place): kinds in
+    their order, news first for queries for the latest, at most so many of a kind, an address once, at most ``most``."""
+    order, allowed = F.lit(len(STATIC_LINKS)), F.lit(0)
+    for n, (kind, few) in enumerate(STATIC_LINKS.items()):
+        order, allowed = F.when(F.col("kind") == kind, n).otherwise(order), F.when(F.col("kind") == kind, few).otherwise(allowed)
+    few = ranked(links, ["topic", "kind"], [F.asc("place"), F.asc("url")], "_place", max(STATIC_LINKS.values())).where(F.col("_place") <= allowed)
+    joined = topics.join(few, "topic").withColumn("_order", F.when(F.col("latest") & (F.col("kind") == "news"), -1).otherwise(order))
+    single = first_per_group(joined.withColumn("_key", F.lower(F.regexp_replace("url", "[/#]+$", ""))), ["query_id", "_key"], [F.asc("_order"), F.asc("_place"), F.asc("url")])
+    return ranked(single, ["query_id"], [F.asc("_order"), F.asc("_place"), F.asc("url")], "rank", most).select("query_id", "url", "kind", "rank")
+
+
 def capped_matches(matches: DataFrame, label: str = "label", per_prefix: int = 2, most: int = 5, least: float = 0.1) -> DataFrame:
     """``matches`` (query_id, cluster, label, score): at most ``per_prefix`` of labels with the same first two words,
     then at most ``most`` a query; ties by cluster."""

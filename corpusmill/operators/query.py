@@ -25,6 +25,14 @@ def _deletes(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), single(word), F.flatten(F.transform(F.filter(single(word), lambda w: F.length(w) > 0), single))))
 
 
+def spell_lexicon(texts: DataFrame, overlay: DataFrame) -> DataFrame:
+    """(word, frequency) of the Latin words of ``texts`` (text), in how many of them; words of ``overlay`` (word, frequency)
+    count as there."""
+    counted = texts.select(F.explode(text.terms(F.col("text"), 2)).alias("word")).where(F.col("word").rlike("^[a-z]+$")).groupBy("word").agg(F.count("*").alias("frequency"))
+    both = counted.join(overlay.select(F.lower("word").alias("word"), F.col("frequency").alias("given")).groupBy("word").agg(F.max("given").alias("given")), "word", "full")
+    return both.select("word", F.coalesce("given", "frequency").cast("long").alias("frequency"))
+
+
 def spelling(words: DataFrame, lexicon: DataFrame, distance: int = 2, least: int = 4) -> DataFrame:
     """(word, fixed) of ``words`` (word), Latin ones of at least ``least`` letters that ``lexicon`` (word, frequency)
     does not have: its nearest word within ``distance`` edits, then the most frequent, then the first. Words meet by an
@@ -141,6 +149,108 @@ def merged_entities(first: Column, second: Column) -> Column:
     return F.transform(F.filter(F.transform(both, lambda e, i: F.struct(e.alias("e"), i.alias("i"))), lambda x: F.array_position(low, F.lower(x["e"])) == x["i"] + 1), lambda x: x["e"])
 
 
+# What a chat does for each intent.
+CHAT_INTENTS = {
+    "NAVIGATION": "NAVIGATE", "SMALLTALK": "CLARIFY", "STATISTICAL": "DATA_REQUEST", "COMPARE": "CONCEPT", "DEFINITION": "CONCEPT",
+    "FACTUAL": "CONCEPT", "LATEST": "CONCEPT", "LOOKUP": "CONCEPT",
+}
+
+
+def chat_intent(intent_: Column) -> Column:
+    """What a chat does for an intent; for none, or one that is not known, it explains."""
+    out = F.lit("CONCEPT")
+    for name, does in CHAT_INTENTS.items():
+        out = F.when(intent_ == name, does).otherwise(out)
+    return out
+
+
+@dataclass(frozen=True)
+class SmallTalk:
+    """The answers to messages of up to ``most`` characters, 0 for any, that mention a pattern."""
+
+    patterns: tuple[str, ...]
+    ka: str
+    en: str
+    most: int = 0
+
+
+def small_talk(message: Column, georgian: Column, groups: list[SmallTalk]) -> Column:
+    """The first fitting group's answer in the message's language; null if none fits."""
+    out = F.lit(None).cast("string")
+    for group in reversed(groups):
+        fits = F.lit(False)
+        for pattern in group.patterns:
+            fits = fits | text.mentions(message, pattern)
+        if group.most:
+            fits = fits & (F.length(message) <= group.most)
+        out = F.when(fits, F.when(georgian, group.ka).otherwise(group.en)).otherwise(out)
+    return out
+
+
+@dataclass(frozen=True)
+class PortalLists:
+    """Words of messages that ask for lists of portals."""
+
+    portals: tuple[str, ...]
+    calculators: tuple[str, ...]
+    requests: tuple[str, ...]
+    excluded: tuple[str, ...]
+    most: int
+
+
+def asks_for_portals(message: Column, words: PortalLists) -> Column:
+    """Does a message ask for a list, or name portals or calculators in a few characters, and nothing that is excluded?"""
+
+    def any_of(listed: tuple[str, ...]) -> Column:
+        out = F.lit(False)
+        for word in listed:
+            out = out | text.mentions(message, word)
+        return out
+
+    short = (any_of(words.portals) | any_of(words.calculators)) & (F.length(message) < words.most)
+    return F.coalesce(~any_of(words.excluded) & (any_of(words.requests) | short), F.lit(False))
+
+
+@dataclass(frozen=True)
+class Indicator:
+    """An entity that queries with any of the triggers mean."""
+
+    triggers: tuple[str, ...]
+    form: str
+    type: str = "INDICATOR"
+
+
+def hinted_entities(query: Column, indicators: list[Indicator]) -> Column:
+    """(type, form, confidence) of the indicators a query has a trigger of, then of the years it names, each once."""
+    low = F.coalesce(F.lower(query), F.lit(""))
+    found = []
+    for indicator in {(i.type, i.form.lower()): i for i in reversed(indicators)}.values():
+        hit = F.lit(False)
+        for trigger in indicator.triggers:
+            hit = hit | F.contains(low, F.lit(trigger.lower()))
+        found.append((indicators.index(indicator), F.when(hit, F.struct(F.lit(indicator.type).alias("type"), F.lit(indicator.form).alias("form"), F.lit(0.75).alias("confidence")))))
+    named = F.array_compact(F.array(*(column for _, column in sorted(found, key=lambda x: x[0])))) if found else F.array().cast("array<struct<type: string, form: string, confidence: double>>")
+    return F.concat(named, F.transform(years(query).cast("array<string>"), lambda y: F.struct(F.lit("YEAR").alias("type"), y.alias("form"), F.lit(0.85).alias("confidence"))))
+
+
+def retrieval_text(normalized: Column, forms: Column, expansions: Column) -> Column:
+    """What is searched for: the query, its entities' forms and its expansions, each once, in this order; '' for a blank
+    query."""
+    parts = F.filter(F.concat(F.array(normalized), forms, expansions), lambda p: F.trim(p) != "")
+    return F.when(F.coalesce(F.trim(normalized), F.lit("")) == "", "").otherwise(F.array_join(F.array_distinct(parts), " "))
+
+
+def spelled(queries: DataFrame, fixes: DataFrame, least: int = 4) -> DataFrame:
+    """(query_id, query, spelled) of ``queries`` (query_id, query): Latin words of at least ``least`` letters replaced by
+    their fixes (word, fixed), whatever their case. Each distinct word is looked up once, by an equi-join."""
+    words = queries.select("query_id", "query", F.regexp_extract_all("query", F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), 0).alias("parts"))
+    wanted = words.select("query_id", F.explode("parts").alias("part")).select("query_id", F.lower("part").alias("word")).where(F.col("word").rlike(f"^[a-z]{{{least},}}$")).distinct()
+    known = wanted.join(fixes.select("word", "fixed"), "word").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "fixed"))).alias("fixed"))
+    joined = words.join(known, "query_id", "left")
+    fixed = F.transform("parts", lambda p: F.coalesce(F.try_element_at("fixed", F.lower(p)), p))
+    return joined.select("query_id", "query", F.array_join(fixed, "").alias("spelled"))
+
+
 def context_budget(system: Column, history: Column, question: Column, total: int = 28_000, most: int = 12_000, least: int = 1_500, margin: int = 500) -> Column:
     """The characters left for retrieved context."""
     return F.least(F.lit(most), F.greatest(F.lit(least), F.lit(total - margin) - system - history - question))

@@ -161,5 +161,5 @@ SQL = {
     "hybrid_reranked": _ALL + _FUSED + _RERANKED + " select query_id, id, score, rank from h",
     "hybrid_confidence": _ALL + _FUSED + _RERANKED + ", t as (select query_id, max(score) filter (rank = 1) as top, max(score) filter (rank = 2) as second from h group by 1), c as (select query_id, top, case when top > 0.75 and top - coalesce(second, 0.0) > 0.05 then 'HIGH' when top > 0.55 then 'MEDIUM' when top > 0.35 then 'LOW' else 'NONE' end as tier from t) select query_id, round(top, 6) as top, tier, case tier when 'HIGH' then 'cite' when 'MEDIUM' then 'suggest' when 'LOW' then 'clarify' else 'refuse' end as route from c",
     "keyword_first": _ALL + f", j as (select query_id, id, rank as place, 0 as source from keyword union all select query_id, id, rank, 1 from body), w as (select j.query_id, url, source, place from j join pt using (id) where url is not null qualify row_number() over (partition by j.query_id, lower(url) order by source, place, url) = 1) select query_id, url, source, row_number() over (partition by query_id order by source, place, url) as rank from w qualify rank <= {LIMIT}",
-    "multi_query": _ALL + f", vq as (select query_id, unnest([query, lower(query), regexp_replace(lower(query), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')]) as t from q), vv as (select query_id, {_vector('t')} as v from vq), near as (select query_id, vv.v, id, list_cosine_similarity(vv.v, x.xv) as score from vv join (select id, {_vector('text')} as xv from pt where text is not null) x on true qualify row_number() over (partition by query_id, vv.v order by round(score, 12) desc, id) <= 10), b as (select query_id, id, round(max(score), 9) as score from near group by all) select query_id, id, round(score, 6) as score, row_number() over (partition by query_id order by score desc, id) as rank from b qualify rank <= 10",
+    "multi_query": _ALL + f", vq as (select query_id, unnest([1, 2, 3]) as variant, unnest([query, lower(query), regexp_replace(lower(query), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')]) as t from q), vv as (select query_id, variant, {_vector('t')} as v from vq), near as (select query_id, id, list_cosine_similarity(vv.v, x.xv) as score from vv join (select id, {_vector('text')} as xv from pt where text is not null) x on true qualify row_number() over (partition by query_id, variant order by round(score, 12) desc, id) <= 10), b as (select query_id, id, round(max(score), 9) as score from near group by query_id, id) select query_id, id, round(score, 6) as score, row_number() over (partition by query_id order by score desc, id) as rank from b qualify rank <= 10",
 }
