@@ -13,13 +13,19 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.coalesce(part / F.nullif(whole, F.lit(0)), F.lit(0.0))
 
 
-#: Plug-in metrics: name -> an aggregate over pages (parsed, body_length, violations, has_summary, has_chunk).
+#: Plug-in metrics: name -> an aggregate over pages (parsed, body_length, violations, has_summary, has_chunk, has_kind,
+#: has_marker, encoding_issue).
 METRICS: dict[str, Callable[[], Column]] = {
     "empty_body_rate": lambda: ratio(F.count_if(F.col("parsed") & (F.col("body_length") < 30)), F.count_if("parsed")),
     "summary_coverage": lambda: ratio(F.count_if(F.col("parsed") & F.col("has_summary")), F.count_if("parsed")),
     "chunk_coverage": lambda: ratio(F.count_if("has_chunk"), F.count_if("parsed")),
     "skip_rate": lambda: ratio(F.count_if(F.col("fetch_status") == "skipped"), F.count("*")),
     "failure_rate": lambda: ratio(F.count_if(F.col("fetch_status") == "failed"), F.count("*")),
+    "boilerplate_ratio": lambda: ratio(F.count_if(F.col("parsed") & F.col("has_marker")), F.count_if("parsed")),
+    "truncation_rate": lambda: ratio(F.count_if(F.col("parsed") & F.coalesce(F.array_contains("violations", "truncated_text"), F.lit(False))), F.count_if("parsed")),
+    "repetition_rate": lambda: ratio(F.count_if(F.col("parsed") & F.coalesce(F.array_contains("violations", "paragraph_duplicates_removed"), F.lit(False))), F.count_if("parsed")),
+    "encoding_issue_rate": lambda: ratio(F.count_if(F.col("parsed") & F.col("encoding_issue")), F.count_if("parsed")),
+    "kind_coverage": lambda: ratio(F.count_if(F.col("parsed") & F.col("has_kind")), F.count_if("parsed")),
     "violation_rate": lambda: ratio(F.count_if(F.coalesce(F.size("violations"), F.lit(0)) > 0), F.count("*")),
 }
 

@@ -223,12 +223,12 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, most: int = 20) -> Dat
     return out.select("query_id", "chunk_id", F.round(0.85 - 0.01 * (F.col("rank") - 1), 6).alias("score"), "rank")
 
 
-def rerank(hits: DataFrame, locale: str, now: Column, most: int) -> DataFrame:
-    """``hits`` (query_id, query, id, url, title, text, language, fetched_at, score) reranked: the locale, the overlap of
+def rerank(hits: DataFrame, locale: Column | str, now: Column, most: int) -> DataFrame:
+    """``hits`` (query_id, query, id, url, title, text, language, fetched_at, score) reranked: the query's locale, the overlap of
     the query's words with text, title and address, and freshness count; an address once, at most ``most`` a query."""
     words = text.terms(F.col("query"), 3)
     bonus = (
-        F.when(F.lower("language") == locale, 0.15).when(F.col("language").isNotNull(), -0.05).otherwise(0.0)
+        F.when(text.language_code(F.col("language")) == locale, 0.15).when(F.col("language").isNotNull(), -0.05).otherwise(0.0)
         + text.overlap(words, F.col("text")) * 0.2
         + text.overlap(words, F.col("title")) * 0.15
         + text.overlap(words, F.col("url")) * 0.1

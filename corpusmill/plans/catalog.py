@@ -33,7 +33,7 @@ def dedupe_keep_highest(spark: SparkSession, root: str) -> DataFrame:
 
 def topic_keywords(spark: SparkSession, root: str) -> DataFrame:
     """(cluster, language, keyword, frequency, clusters, score, rank): the 20 foremost words of each corpus, by TF-IDF."""
-    rows = pages(spark, root, "corpus_id", "language", "content_text").where("language in ('ka', 'en')")
+    rows = pages(spark, root, "corpus_id", text.language_code(F.col("language")).alias("language"), "content_text").where("language in ('ka', 'en')")
     terms = rows.select(F.col("corpus_id").alias("cluster"), "language", F.explode(text.terms(F.col("content_text"))).alias("keyword"))
     out = catalog.tfidf(terms, 20)
     return out.select("cluster", "language", "keyword", "frequency", "clusters", F.round("score", 6).alias("score"), "rank")
@@ -49,7 +49,7 @@ def topic_keywords_weighted(spark: SparkSession, root: str) -> DataFrame:
 
 def topic_summary(spark: SparkSession, root: str) -> DataFrame:
     """(corpus_id, n_pages, n_chunks): usable pages that are no portals, with the number of their chunks."""
-    rows = pages(spark, root, "corpus_id", "page_kind", "content_text").where(~F.col("page_kind").eqNullSafe("portal") & (F.length("content_text") >= 100))
+    rows = pages(spark, root, "corpus_id", "page_kind", F.length("content_text").alias("length")).where(~F.col("page_kind").eqNullSafe("portal") & (F.col("length") >= 100))
     own = chunks(spark, root, "document_id").groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("n"))
     return rows.select("id", "corpus_id").join(own, "id", "left").groupBy("corpus_id").agg(F.count("*").alias("n_pages"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_chunks"))
 
@@ -94,17 +94,17 @@ def enrichment_backlog(spark: SparkSession, root: str) -> DataFrame:
 def orphan_vectors(spark: SparkSession, root: str) -> DataFrame:
     """(id): embedded chunks of portals, of short pages and of pages whose score is neither good nor degraded; a null
     score is not counted."""
-    rows = pages(spark, root, "quality_score", "page_kind", "content_text")
+    rows = pages(spark, root, "quality_score", "page_kind", F.length("content_text").alias("length"))
     own = chunks(spark, root, "document_id", "embedding_status").where("embedding_status = 'embedded'")
-    bad = (~F.col("quality_score").isin("good", "degraded")) | (F.col("page_kind") == "portal") | (F.length("content_text") < 100)
+    bad = (~F.col("quality_score").isin("good", "degraded")) | (F.col("page_kind") == "portal") | (F.col("length") < 100)
     return own.join(rows.withColumnRenamed("id", "document_id"), "document_id").where(bad).select("id")
 
 
 def cluster_match(spark: SparkSession, root: str) -> DataFrame:
     """(query_id, cluster, score, rank): the corpora whose foremost words each turn's message has."""
-    rows = pages(spark, root, "corpus_id", "language", "title").where("language = 'en'")
+    rows = pages(spark, root, "corpus_id", text.language_code(F.col("language")).alias("language"), "title").where("language in ('ka', 'en')")
     keywords = catalog.tfidf(rows.select(F.col("corpus_id").alias("cluster"), "language", F.explode(text.terms(F.col("title"))).alias("keyword")), 30)
-    queries = once(spark, root, "chat_turn", "id", "user_message").select(F.col("id").alias("query_id"), F.lit("en").alias("language"), F.col("user_message").alias("query"))
+    queries = once(spark, root, "chat_turn", "id", "user_message").select(F.col("id").alias("query_id"), text.script_language(F.col("user_message")).alias("language"), F.col("user_message").alias("query"))
     matched = catalog.match_clusters(queries, keywords).withColumn("score", F.round(scores.saturated(F.col("raw")), 6))
     return catalog.ranked(matched, ["query_id"], [F.desc("score"), F.asc("cluster")], "rank", 3).select("query_id", "cluster", "score", "rank")
 
@@ -135,6 +135,7 @@ def lifecycle_report(spark: SparkSession, root: str) -> DataFrame:
 
 
 _TERMS = "list_distinct(list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: length(t) >= 3))"
+_LANG = text.language_code_sql("language")
 _OVERRIDES = "o as (select document_id as target_id, case document_id % 4 when 0 then 'exclude' when 1 then 'boost' when 2 then 'demote' else 'pin' end as action, deleted_at + interval 90 days as expires_at from document_deletion)"
 _TFIDF = """own as (select cluster, language, keyword, {f} as frequency from terms group by all), scope as (select language, keyword, count(*) as clusters from own group by all),
 scored as (select *, frequency / greatest(1, clusters) as score from own join scope using (language, keyword)), r as (select *, row_number() over (partition by cluster, language order by score desc, keyword) as rank from scored)"""
@@ -150,7 +151,7 @@ SQL = {
     "best_page_per_corpus": WITH + "select corpus_id, language, id, authority_score from pages where fetch_status = 'parsed' and page_kind = 'portal' qualify row_number() over (partition by corpus_id, language order by authority_score desc, fetched_at desc nulls last, id) = 1",
     "rank_in_kind": WITH + "select corpus_id, page_kind, id, row_number() over (partition by corpus_id, language, page_kind order by authority_score desc, fetched_at desc nulls last, id) as rank from pages where fetch_status = 'parsed'",
     "dedupe_keep_highest": WITH + "select corpus_id, content_hash, max(id) as id from pages where content_hash is not null group by all",
-    "topic_keywords": WITH + ", terms as (select corpus_id as cluster, language, unnest(" + _TERMS.format(c="content_text") + ") as keyword from pages where language in ('ka', 'en')), " + _TFIDF.format(f="count(*)") + " select cluster, language, keyword, frequency, clusters, round(score, 6) as score, rank from r where rank <= 20",
+    "topic_keywords": WITH + ", terms as (select corpus_id as cluster, " + _LANG + " as language, unnest(" + _TERMS.format(c="content_text") + ") as keyword from pages where " + _LANG + " in ('ka', 'en')), " + _TFIDF.format(f="count(*)") + " select cluster, language, keyword, frequency, clusters, round(score, 6) as score, rank from r where rank <= 20",
     "topic_keywords_weighted": WITH + ", terms as (select corpus_id as cluster, 'en' as language, unnest(" + _TERMS.format(c="title") + ") as keyword, 1 as weight from pages union all select corpus_id, 'en', unnest(" + _TERMS.format(c="summary_en") + "), 2 from pages), " + _TFIDF.format(f="sum(weight)") + " select cluster, language, keyword, cast(frequency as bigint) as frequency, rank from r where rank <= 10",
     "topic_summary": WITH + ", c as (select document_id, count(*) as n from chunks group by all) select corpus_id, count(*) as n_pages, cast(coalesce(sum(n), 0) as bigint) as n_chunks from pages left join c on c.document_id = pages.id where page_kind is distinct from 'portal' and length(content_text) >= 100 group by corpus_id",
     "curation_overlay": WITH + f", {_OVERRIDES}, a as (select target_id, bool_or(action = 'exclude') as e, bool_or(action = 'boost') as b, bool_or(action = 'demote') as d, bool_or(action = 'pin') as p from o where expires_at is null or expires_at > timestamp '2024-06-01' group by 1) select id, round(least(2.0, greatest(0.5, authority_score * case when b then 1.2 else 1.0 end * case when d then 0.8 else 1.0 end)), 6) as curated, coalesce(p, false) as pinned from pages left join a on a.target_id = pages.id where not coalesce(e, false)",
@@ -158,7 +159,7 @@ SQL = {
     "serve_states": WITH + ", k as (select id, fetch_status, cast(summary_ka is not null or summary_en is not null as int) + cast(coalesce(page_kind <> 'unknown', false) as int) + cast(quality_score is not null as int) as kinds from pages) select case when not coalesce(fetch_status = 'parsed', false) or id in (select document_id from document_deletion) then 'dropped' when kinds = 0 or kinds = 3 then 'live' else 'partial_enriched' end as serve_state, count(*) as n_pages from k group by all",
     "enrichment_backlog": WITH + "select id from pages where fetch_status = 'parsed' and ((summary_ka is null and summary_en is null) or page_kind = 'unknown')",
     "orphan_vectors": WITH + "select c.id from chunks c join pages p on p.id = c.document_id where embedding_status = 'embedded' and (quality_score not in ('good', 'degraded') or page_kind = 'portal' or length(content_text) < 100)",
-    "cluster_match": WITH + ", terms as (select corpus_id as cluster, language, unnest(" + _TERMS.format(c="title") + ") as keyword from pages where language = 'en'), " + _TFIDF.format(f="count(*)") + ", q as (select id as query_id, unnest(" + _TERMS.format(c="user_message") + ") as keyword from turns), m as (select query_id, cluster, round(least(1.0, sum(score) / 5.0), 6) as score from q join r using (keyword) where rank <= 30 group by all) select query_id, cluster, score, row_number() over (partition by query_id order by score desc, cluster) as rank from m qualify rank <= 3",
+    "cluster_match": WITH + ", terms as (select corpus_id as cluster, " + _LANG + " as language, unnest(" + _TERMS.format(c="title") + ") as keyword from pages where " + _LANG + " in ('ka', 'en')), " + _TFIDF.format(f="count(*)") + ", q as (select id as query_id, case when length(user_message) - length(regexp_replace(user_message, '[ა-ჿ]', '', 'g')) >= length(user_message) - length(regexp_replace(user_message, '[A-Za-z]', '', 'g')) then 'ka' else 'en' end as language, unnest(" + _TERMS.format(c="user_message") + ") as keyword from turns), m as (select query_id, cluster, round(least(1.0, sum(score) / 5.0), 6) as score from q join r using (language, keyword) where rank <= 30 group by all) select query_id, cluster, score, row_number() over (partition by query_id order by score desc, cluster) as rank from m qualify rank <= 3",
     "label_match_capped": WITH + ", m as (select turn_id as query_id, try_cast(trim(document_id, E' \\t\\n\\r') as bigint) as cluster, max(score) as score from hits where try_cast(trim(document_id, E' \\t\\n\\r') as bigint) is not null group by all), t as (select m.*, array_to_string(string_split(lower(coalesce(title, '')), ' ')[1:2], ' ') as prefix from m join pages on pages.id = m.cluster where score >= 0.1), c as (select *, row_number() over (partition by query_id, prefix order by score desc, cluster) as n from t) select query_id, cluster, row_number() over (partition by query_id order by score desc, cluster) as rank from c where n <= 2 qualify rank <= 5",
     "merged_links": WITH + ", a as (select corpus_id, canonical_url as url, row_number() over (partition by corpus_id order by authority_score desc, id) as place, 0 as source from pages qualify place <= 6), n as (select corpus_id, target_url, count(*) as n from links group by all), b as (select corpus_id, target_url as url, row_number() over (partition by corpus_id order by n desc, target_url) as place, 1 as source from n qualify place <= 4), u as (select * from a union all select * from b), s as (select *, row_number() over (partition by corpus_id, lower(regexp_replace(url, '[/#]+$', '')) order by source, place, url) as n from u) select corpus_id as \"group\", url, source, row_number() over (partition by corpus_id order by source, place, url) as rank from s where n = 1 qualify rank <= 8",
     "authority_normalized": WITH + ", b as (select min(authority_score) as l, max(authority_score) as h from pages) select id, round(case when h > l then (authority_score - l) / (h - l) else 0.5 end, 6) as normalized from pages, b",

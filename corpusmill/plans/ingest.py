@@ -84,8 +84,8 @@ def frontier_resume(spark: SparkSession, root: str) -> DataFrame:
 
 def change_detection(spark: SparkSession, root: str) -> DataFrame:
     """(change, n_pages): stored hashes against hashes of the stored texts."""
-    rows = pages(spark, root, "content_text", "content_hash")
-    return ingest.changed_pages(rows.select("id", text.content_hash(F.col("content_text")).alias("content_hash")), rows).groupBy("change").agg(F.count("*").alias("n_pages"))
+    rows = pages(spark, root, text.content_hash(F.col("content_text")).alias("fetched"), "content_hash")
+    return ingest.changed_pages(rows.select("id", F.col("fetched").alias("content_hash")), rows).groupBy("change").agg(F.count("*").alias("n_pages"))
 
 
 def late_link_resolution(spark: SparkSession, root: str) -> DataFrame:

@@ -12,12 +12,20 @@ from corpusmill.sources.tables import table
 from corpusmill.sources.views import WITH, chunks, hits_once, links, once, pages
 
 
+MARKERS = ["adapted version", "ადაპტირებული ვერსია"]
+
+
 def _described(spark: SparkSession, root: str) -> DataFrame:
     own = chunks(spark, root, "document_id").select(F.col("document_id").alias("id"), F.lit(True).alias("has_chunk")).distinct()
-    rows = pages(spark, root, "corpus_id", "fetch_status", "content_text", "validation_violations", "summary_ka", "summary_en")
+    marker = F.lower("content_text").rlike("|".join(MARKERS))
+    rows = pages(
+        spark, root, "corpus_id", "fetch_status", F.length(F.trim("content_text")).alias("length"), F.coalesce(marker, F.lit(False)).alias("has_marker"), "validation_violations",
+        (F.col("summary_ka").isNotNull() | F.col("summary_en").isNotNull()).alias("has_summary"), F.coalesce(F.col("page_kind") != "unknown", F.lit(False)).alias("has_kind"),
+        F.coalesce(text.encoding_mismatch(F.col("canonical_url"), F.col("content_text")), F.lit(False)).alias("encoding_issue"),
+    )
     return rows.join(own, "id", "left").select(
-        "id", "corpus_id", "fetch_status", (F.col("fetch_status") == "parsed").alias("parsed"), F.coalesce(F.length(F.trim("content_text")), F.lit(0)).alias("body_length"),
-        F.col("validation_violations").alias("violations"), (F.col("summary_ka").isNotNull() | F.col("summary_en").isNotNull()).alias("has_summary"), F.coalesce("has_chunk", F.lit(False)).alias("has_chunk"),
+        "id", "corpus_id", "fetch_status", (F.col("fetch_status") == "parsed").alias("parsed"), F.coalesce("length", F.lit(0)).alias("body_length"),
+        F.col("validation_violations").alias("violations"), "has_summary", "has_kind", "has_marker", "encoding_issue", F.coalesce("has_chunk", F.lit(False)).alias("has_chunk"),
     )
 
 
@@ -41,8 +49,8 @@ def readiness(spark: SparkSession, root: str) -> DataFrame:
 
 
 def null_profile(spark: SparkSession, root: str) -> DataFrame:
-    """(column, n_null, n_blank, null_share) of ingestion_document's flat columns."""
-    return quality.null_profile(table(spark, root, "ingestion_document").drop("validation_violations"))
+    """(column, n_null, n_blank, null_share) of ingestion_document's columns."""
+    return quality.null_profile(table(spark, root, "ingestion_document"))
 
 
 def duplicate_texts(spark: SparkSession, root: str) -> DataFrame:
@@ -64,8 +72,8 @@ def length_stats(spark: SparkSession, root: str) -> DataFrame:
 
 def status_counts(spark: SparkSession, root: str) -> DataFrame:
     """(corpus_id, n_pages, n_parsed, n_failed, n_empty): conditional counts."""
-    rows = pages(spark, root, "corpus_id", "fetch_status", "content_text")
-    return rows.groupBy("corpus_id").agg(F.count("*").alias("n_pages"), F.count_if(F.col("fetch_status") == "parsed").alias("n_parsed"), F.count_if(F.col("fetch_status") == "failed").alias("n_failed"), F.count_if(F.coalesce(F.trim("content_text"), F.lit("")) == "").alias("n_empty"))
+    rows = pages(spark, root, "corpus_id", "fetch_status", (F.coalesce(F.trim("content_text"), F.lit("")) == "").alias("empty"))
+    return rows.groupBy("corpus_id").agg(F.count("*").alias("n_pages"), F.count_if(F.col("fetch_status") == "parsed").alias("n_parsed"), F.count_if(F.col("fetch_status") == "failed").alias("n_failed"), F.count_if("empty").alias("n_empty"))
 
 
 def shortest_bodies(spark: SparkSession, root: str) -> DataFrame:
@@ -171,19 +179,24 @@ def latest_version(spark: SparkSession, root: str) -> DataFrame:
     return rows.groupBy("session_id").agg(F.max_by("prompt_version", F.struct("created_at", "id")).alias("prompt_version"), F.count("*").alias("n_turns"))
 
 
-_D = "c as (select distinct document_id from chunks), d as (select *, fetch_status = 'parsed' as parsed, coalesce(length(trim(content_text)), 0) as body_length, summary_ka is not null or summary_en is not null as has_summary, id in (select document_id from c) as has_chunk from pages)"
+_D = "c as (select distinct document_id from chunks), d as (select *, fetch_status = 'parsed' as parsed, coalesce(length(trim(content_text)), 0) as body_length, summary_ka is not null or summary_en is not null as has_summary, id in (select document_id from c) as has_chunk, coalesce(regexp_matches(lower(content_text), '" + "|".join(MARKERS) + "'), false) as has_marker, coalesce(page_kind <> 'unknown', false) as has_kind, coalesce(contains(canonical_url, '/ka/') and coalesce(trim(content_text), '') <> '' and not regexp_matches(content_text, '[Ⴀ-ჿⴀ-⴯]'), false) as encoding_issue from pages)"
 _RATIO = {
     "empty_body_rate": ("count(*) filter (parsed and body_length < 30)", "count(*) filter (parsed)"),
     "summary_coverage": ("count(*) filter (parsed and has_summary)", "count(*) filter (parsed)"),
     "chunk_coverage": ("count(*) filter (has_chunk)", "count(*) filter (parsed)"),
     "skip_rate": ("count(*) filter (fetch_status = 'skipped')", "count(*)"),
     "failure_rate": ("count(*) filter (fetch_status = 'failed')", "count(*)"),
+    "boilerplate_ratio": ("count(*) filter (parsed and has_marker)", "count(*) filter (parsed)"),
+    "truncation_rate": ("count(*) filter (parsed and list_contains(validation_violations, 'truncated_text'))", "count(*) filter (parsed)"),
+    "repetition_rate": ("count(*) filter (parsed and list_contains(validation_violations, 'paragraph_duplicates_removed'))", "count(*) filter (parsed)"),
+    "encoding_issue_rate": ("count(*) filter (parsed and encoding_issue)", "count(*) filter (parsed)"),
+    "kind_coverage": ("count(*) filter (parsed and has_kind)", "count(*) filter (parsed)"),
     "violation_rate": ("count(*) filter (len(validation_violations) > 0)", "count(*)"),
 }
 _M = ", ".join(f"coalesce({a} / nullif({b}, 0), 0.0) as {m}" for m, (a, b) in _RATIO.items())
 _FLAT = [
     "id", "corpus_id", "canonical_url", "url_hash", "title", "language", "content_text", "content_hash", "lead_text", "summary_ka", "summary_en", "locale_pair_doc_id", "page_kind", "quality_score",
-    "fetch_status", "http_status", "authority_score", "fetched_at", "published_at", "created_at", "updated_at",
+    "validation_violations", "fetch_status", "http_status", "authority_score", "fetched_at", "published_at", "created_at", "updated_at",
 ]
 _STRINGS = {"canonical_url", "url_hash", "title", "language", "content_text", "content_hash", "lead_text", "summary_ka", "summary_en", "page_kind", "quality_score", "fetch_status"}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions import scores
+from corpusmill.functions import text
 from corpusmill.operators import retrieval
 from corpusmill.sources.tables import table
 from corpusmill.sources.views import AS_OF, WITH, as_of, chunks, hits_once, once, pages
@@ -48,9 +48,10 @@ def best_match_threshold(spark: SparkSession, root: str) -> DataFrame:
 
 
 def semantic_rerank(spark: SparkSession, root: str) -> DataFrame:
-    """(query_id, id, score, rank): hits of the raw dot product, reranked by cosine."""
+    """(query_id, id, score, rank): hits by the first 16 coordinates, reranked by all of them."""
     queries, vectors = _query_vectors(spark, root), _vectors(spark, root)
-    return retrieval.semantic_rerank(retrieval.dense_topk(queries, vectors, 30), queries, vectors, 5)
+    short = [own.withColumn("vector", F.slice("vector", 1, 16)) for own in (queries, vectors)]
+    return retrieval.semantic_rerank(retrieval.dense_topk(*short, 30), queries, vectors, 5)
 
 
 def _turns(spark: SparkSession, root: str) -> DataFrame:
@@ -88,7 +89,7 @@ def reranked_hits(spark: SparkSession, root: str) -> DataFrame:
     hits = hits_once(spark, root).where("doc is not null").groupBy(F.col("turn_id").alias("query_id"), F.col("doc").alias("id")).agg(F.max("score").alias("score"))
     detail = pages(spark, root, F.col("canonical_url").alias("url"), "title", F.col("lead_text").alias("text"), "language", "fetched_at")
     rows = hits.join(detail, "id").join(_turns(spark, root), "query_id")
-    return retrieval.rerank(rows, "ka", as_of(), 8).select("query_id", "id", F.round("reranked", 6).alias("reranked"), "rank")
+    return retrieval.rerank(rows, text.script_language(F.col("query")), as_of(), 8).select("query_id", "id", F.round("reranked", 6).alias("reranked"), "rank")
 
 
 def mmr_diversify(spark: SparkSession, root: str) -> DataFrame:
@@ -135,6 +136,8 @@ _CITED = _HITS + ", ch as (select query_id, c.id, row_number() over (partition b
 _FUSED = "f as (select query_id, id, round(sum(1.0 / (60 + rank)), 9) as score, count(*) as n_lists from (select query_id, id, rank from kh union all select query_id, id, rank from ch) group by all), r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from f qualify rank <= 10)"
 _COS = "list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[]))"
 
+_SHORT = "round(list_cosine_similarity(cast(q.embedding[1:16] as double[]), cast(v.embedding[1:16] as double[])), 12)"
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -147,12 +150,12 @@ SQL = {
     "vector_topk_filtered": f"select q.vec_id as query_id, v.vec_id as id, row_number() over (partition by q.vec_id order by {_COS} desc, v.vec_id) as rank from embeddings q, embeddings v where q.vec_id % 50 = 0 and (q.label = 3 or v.label = 3) qualify rank <= 5",
     "nearest_centroid": "with p as (select label, i, avg(cast(embedding[i] as double)) as m from embeddings, range(1, 65) r(i) group by all), c as (select label, list(m order by i) as c from p group by label) select vec_id as id, cast(label2 as bigint) as cluster from (select e.vec_id, c.label as label2, row_number() over (partition by e.vec_id order by list_cosine_similarity(cast(e.embedding as double[]), c.c) desc, c.label) as n from embeddings e, c) where n = 1",
     "best_match_threshold": f"select q.vec_id as query_id, v.vec_id as id, round({_COS}, 6) as score from embeddings q, embeddings v where q.vec_id % 50 = 0 and q.label <> v.label and {_COS} > 0.3 qualify row_number() over (partition by q.vec_id order by {_COS} desc, v.vec_id) = 1",
-    "semantic_rerank": f"with s as (select q.vec_id as query_id, v.vec_id as id, {_COS} as c, row_number() over (partition by q.vec_id order by {_COS} desc, v.vec_id) as n from embeddings q, embeddings v where q.vec_id % 50 = 0 qualify n <= 24) select query_id, id, round(c + 0.35 * c, 6) as score, row_number() over (partition by query_id order by round(c + 0.35 * c, 6) desc, id) as rank from s qualify rank <= 5",
+    "semantic_rerank": f"with s as (select q.vec_id as query_id, v.vec_id as id, {_COS} as c, {_SHORT} as h, row_number() over (partition by q.vec_id order by {_SHORT} desc, v.vec_id) as n from embeddings q, embeddings v where q.vec_id % 50 = 0 qualify n <= 24) select query_id, id, round(h + 0.35 * c, 6) as score, row_number() over (partition by query_id order by round(h + 0.35 * c, 6) desc, id) as rank from s qualify rank <= 5",
     "keyword_search": WITH + ", qw as (select id as query_id, unnest(" + _TERMS.format(c="user_message", n=2) + ") as word from turns where user_message is not null), need as (select query_id, count(*) as needed from qw group by 1), cw as (select id as chunk_id, sequence_no, unnest(" + _TERMS.format(c="text", n=2) + ") as word from chunks), m as (select query_id, chunk_id, sequence_no, count(*) as found from qw join cw using (word) group by all), r as (select query_id, chunk_id, row_number() over (partition by query_id order by case when sequence_no = 0 then 0 else 1 end, chunk_id) as rank from m join need using (query_id) where found = needed qualify rank <= 20) select query_id, chunk_id, round(cast(0.85 as double) - 0.01 * (rank - 1), 6) as score, rank from r",
     "rrf_fusion": WITH + f", {_KEYWORD}, {_CITED}, {_FUSED} select query_id, id, score, n_lists, rank from r",
     "hybrid_topk": WITH + f", {_KEYWORD}, {_CITED}, {_FUSED}, t as (select query_id, max(score * 61 / 2) filter (rank = 1) as top, max(score * 61 / 2) filter (rank = 2) as second from r group by 1), c as (select query_id, top, case when top > 0.75 and top - coalesce(second, 0.0) > 0.05 then 'HIGH' when top > 0.55 then 'MEDIUM' when top > 0.35 then 'LOW' else 'NONE' end as tier from t) select query_id, round(top, 6) as top, tier, case tier when 'HIGH' then 'cite' when 'MEDIUM' then 'suggest' when 'LOW' then 'clarify' else 'refuse' end as route from c",
     "url_first_wins": WITH + f", {_KEYWORD}, {_CITED}, u as (select query_id, id, rank, 0 as source from kh union all select query_id, id, rank, 1 from ch), j as (select query_id, p.canonical_url as url, rank as place, source from u join chunks c using (id) join pages p on p.id = c.document_id), s as (select *, row_number() over (partition by query_id, lower(url) order by source, place, url) as n from j) select query_id, url, source, row_number() over (partition by query_id order by source, place, url) as rank from s where n = 1 qualify rank <= 8",
-    "reranked_hits": WITH + f", {_HITS}, j as (select h.query_id, p.id, p.canonical_url as url, p.title, p.lead_text as text, p.language, p.fetched_at, h.s as score, " + _TERMS.format(c="t.user_message", n=3) + f" as w, floor((epoch_us(timestamp '{AS_OF}') - epoch_us(p.fetched_at)) / 86400000000.0) as age from h join pages p on p.id = h.doc join turns t on t.id = h.query_id where t.user_message is not null), o as (select *, " + ", ".join(f"case when len(w) > 0 and coalesce(trim({c}), '') <> '' then len(list_filter(w, lambda x: contains(lower({c}), x))) / len(w) else 0.0 end as o_{c}" for c in ("text", "title", "url")) + " from j), s as (select query_id, id, url, round(score + case when lower(language) = 'ka' then 0.15 when language is not null then -0.05 else 0.0 end + o_text * 0.2 + o_title * 0.15 + o_url * 0.1 + case when age <= 30 then 0.08 when age <= 180 then 0.04 when age <= 365 then 0.02 else 0.0 end, 9) as r from o), d as (select *, row_number() over (partition by query_id, lower(url) order by r desc, id) as n from s) select query_id, id, round(r, 6) as reranked, row_number() over (partition by query_id order by r desc, id) as rank from d where n = 1 qualify rank <= 8",
+    "reranked_hits": WITH + f", {_HITS}, j as (select h.query_id, p.id, p.canonical_url as url, p.title, p.lead_text as text, p.language, p.fetched_at, h.s as score, " + _TERMS.format(c="t.user_message", n=3) + f" as w, case when length(t.user_message) - length(regexp_replace(t.user_message, '[ა-ჿ]', '', 'g')) >= length(t.user_message) - length(regexp_replace(t.user_message, '[A-Za-z]', '', 'g')) then 'ka' else 'en' end as locale, floor((epoch_us(timestamp '{AS_OF}') - epoch_us(p.fetched_at)) / 86400000000.0) as age from h join pages p on p.id = h.doc join turns t on t.id = h.query_id where t.user_message is not null), o as (select *, " + ", ".join(f"case when len(w) > 0 and coalesce(trim({c}), '') <> '' then len(list_filter(w, lambda x: contains(lower({c}), x))) / len(w) else 0.0 end as o_{c}" for c in ("text", "title", "url")) + " from j), s as (select query_id, id, url, round(score + case when " + text.language_code_sql("language") + " = locale then 0.15 when language is not null then -0.05 else 0.0 end + o_text * 0.2 + o_title * 0.15 + o_url * 0.1 + case when age <= 30 then 0.08 when age <= 180 then 0.04 when age <= 365 then 0.02 else 0.0 end, 9) as r from o), d as (select *, row_number() over (partition by query_id, lower(url) order by r desc, id) as n from s) select query_id, id, round(r, 6) as reranked, row_number() over (partition by query_id order by r desc, id) as rank from d where n = 1 qualify rank <= 8",
     "citable_hits": WITH + ", h as (select turn_id, try_cast(trim(document_id, E' \\t\\n\\r') as bigint) as doc from hits) select turn_id, count(*) as n_hits, count(*) filter (lower(page_kind) <> 'navigation' and (fetch_status is null or fetch_status in ('parsed', 'stale'))) as n_citable from h join pages p on p.id = h.doc group by 1",
     "grounding": WITH + ", g as (select id, trim(regexp_replace(lower(substring(lead_text, 1, 180)), '[ \\t\\n\\r\\f]+', ' ', 'g')) as head, trim(regexp_replace(lower(summary_en), '[ \\t\\n\\r\\f]+', ' ', 'g')) as body from pages) select id, coalesce(length(head) >= 20 and len(list_filter(range(1, greatest(2, length(head) - 18)), lambda i: contains(body, substring(head, i, 20)))) > 0, false) as grounded from g",
     "hash_embeddings": WITH + ", d as (select id, list_transform(range(0, 32), lambda i: ('0x' || substring(sha256(coalesce(title, '')), i * 2 + 1, 2))::int / 127.5 - 1.0) as v from pages), n as (select id, v, sqrt(12 * list_sum(list_transform(v, lambda x: x * x))) as l from d) select id, round(v[1] / l, 6) as v0, round(v[2] / l, 6) as v1, round(v[32] / l, 6) as v31, 384 as length from n",
