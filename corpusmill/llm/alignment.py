@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import batch, map_batches
 from corpusmill.llm.language import romanize
-from corpusmill.session import materialize
+from corpusmill.session import materialize, spread
 from corpusmill.sources.tables import table
 
 #: Rounds of fitting: the first links sentences by numbers and names, the others decode.
@@ -428,7 +428,7 @@ def aligned(joined: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def _aligned(spark: SparkSession, root: str) -> DataFrame:
     pairs = table(spark, root, "document_locale_pair", "id", "ka_document_id", "en_document_id")
-    joined = materialize(joined_texts(pairs, table(spark, root, "ingestion_document", "id", "content_text")), "pair-texts")
+    joined = materialize(joined_texts(pairs, spread(table(spark, root, "ingestion_document", "id", "content_text"))), "pair-texts")
     return aligned(joined, train(joined))
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import batch, map_batches, page_lines
+from corpusmill.session import spread
 from corpusmill.sources.tables import table
 from corpusmill.sources.views import single_rows
 
@@ -306,7 +307,7 @@ def language_spans(pages: DataFrame, model: WordModel) -> DataFrame:
 
 def _languages(spark: SparkSession, root: str) -> DataFrame:
     pages = table(spark, root, "ingestion_document", "id", F.col("language").alias("label"), "content_text", "title").where("id is not null")
-    return page_languages(pages, train(pages.select("id", "label", F.col("content_text").alias("text"))))
+    return page_languages(spread(pages), train(pages.select("id", "label", F.col("content_text").alias("text"))))
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import batch, map_batches, words
-from corpusmill.session import materialize
+from corpusmill.session import materialize, spread
 from corpusmill.sources.tables import table
 
 SPAN, EVERY, SHINGLE = 18, 8, 5
@@ -203,7 +203,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, block: int = ITEM_BLOCK
 
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
     """(doc_id, item_id): each document that quotes an evaluation passage, with the item."""
-    return leaked_items(table(spark, root, "documents", "doc_id", "text"), table(spark, root, "eval_item", "item_id", "passage"))
+    return leaked_items(spread(table(spark, root, "documents", "doc_id", "text")), table(spark, root, "eval_item", "item_id", "passage"))
 
 
 def p9_items(spark: SparkSession, root: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import batch, hash64, letters_key, map_batches, page_lines
-from corpusmill.session import materialize
+from corpusmill.session import materialize, spread
 from corpusmill.sources.tables import table
 from corpusmill.sources.views import single_rows
 
@@ -153,7 +153,7 @@ def lines_to_delete(bitmaps: DataFrame, repeated: DataFrame) -> DataFrame:
 
 def repeated_in_pages(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """The repeated lines, and (document_id, line_no) wherever they stand."""
-    pages = table(spark, root, "ingestion_document", "id", "corpus_id", "content_text")
+    pages = spread(table(spark, root, "ingestion_document", "id", "corpus_id", "content_text"))
     keyed = materialize(line_keys(pages), "line-keys")
     bitmaps = materialize(line_bitmaps(keyed), "line-bitmaps")
     repeated = repeated_lines(bitmaps)
