@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from corpusmill.functions import scores, urls
@@ -110,8 +110,9 @@ def page_rank(edges: DataFrame, nodes: DataFrame, rounds: int = 20, damping: flo
     ranks = known.withColumn("rank", F.lit(1.0 / n))
     for number in range(1, rounds + 1):
         given = linked.join(ranks, linked["src"] == ranks["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("degree")).alias("given"))
-        given = materialize(given, f"given-{number}")
-        passed_on = given.agg(F.coalesce(F.sum("given"), F.lit(0.0)).alias("passed")).first().passed  # what sinks keep is the rest of 1
+        seen = Observation()
+        given = materialize(given.observe(seen, F.coalesce(F.sum("given"), F.lit(0.0)).alias("passed")), f"given-{number}")
+        passed_on = seen.get["passed"]  # what sinks keep is the rest of 1
         own = (1 - damping) / n + damping * (F.coalesce("given", F.lit(0.0)) + F.lit((1.0 - passed_on) / n))
         new = known.join(given, "id", "left").select("id", own.alias("rank"))
         if tolerance is not None:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import scores, text
 from corpusmill.operators.catalog import first_per_group, ranked
+from corpusmill.session import materialize
 
 #: Queries are broadcast in blocks of so many vectors.
 QUERY_BLOCK = 2048
@@ -134,7 +135,7 @@ def word_candidates(queries: DataFrame, chunks: DataFrame, least: int) -> DataFr
     rarer one. Word counts are over all chunks. Ties between words go by the word.
     """
     asked = queries.select("query_id", text.terms(F.col("query"), least).alias("asked_words"))
-    had = chunks.select("chunk_id", text.terms(F.col("text"), least).alias("chunk_words"))
+    had = materialize(chunks.select("chunk_id", text.terms(F.col("text"), least).alias("chunk_words")), "chunk-words")
     postings = had.select("chunk_id", F.explode("chunk_words").alias("word"))
     frequency = postings.groupBy("word").agg(F.count("*").alias("n"))
     per_query = asked.select("query_id", F.explode("asked_words").alias("word")).join(frequency, "word", "left").groupBy("query_id").agg(
@@ -217,9 +218,12 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, most: int = 20) -> Dat
     """(query_id, chunk_id, score, rank) of ``queries`` (query_id, query) over ``chunks`` (chunk_id, sequence_no, text):
     chunks that have all the query's words, first chunks of documents first, then by id. A rank's score is .85 less .01
     for each place."""
-    whole = word_candidates(queries, chunks, 2).where("found = asked").join(chunks.select("chunk_id", "sequence_no"), "chunk_id")
-    whole = whole.withColumn("later", F.when(F.col("sequence_no") == 0, 0).otherwise(1))
-    out = ranked(whole, ["query_id"], [F.asc("later"), F.asc("chunk_id")], "rank", most)
+    own = materialize(queries.select("query_id", F.array_sort(text.terms(F.col("query"), 2)).alias("words")), "query-words")
+    sets = materialize(own.groupBy("words").agg(F.min("query_id").alias("set_id")), "word-sets")  # equal words are searched for once
+    found = word_candidates(sets.select(F.col("set_id").alias("query_id"), F.array_join("words", " ").alias("query")), chunks, 2).where("found = asked")
+    whole = found.join(chunks.select("chunk_id", "sequence_no"), "chunk_id").withColumn("later", F.when(F.col("sequence_no") == 0, 0).otherwise(1))
+    best = ranked(whole, ["query_id"], [F.asc("later"), F.asc("chunk_id")], "rank", most).withColumnRenamed("query_id", "set_id")
+    out = own.join(sets, "words").select("query_id", "set_id").join(best, "set_id")
     return out.select("query_id", "chunk_id", F.round(0.85 - 0.01 * (F.col("rank") - 1), 6).alias("score"), "rank")
 
 

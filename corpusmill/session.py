@@ -86,6 +86,13 @@ def _clean_up() -> None:
             shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """``scan``, which only reads files, over all cores if it has splits for less than half of them: a small table in one
+    file would else keep one core busy. Larger tables stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if 2 * scan.rdd.getNumPartitions() < cores else scan
+
+
 def forget_at_exit(*paths: str) -> None:
     """Tables at ``paths`` go with the process, where they are local."""
     _WRITTEN.extend(paths)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.session import materialize, ship
+from corpusmill.session import materialize, ship, spread
 from corpusmill.sources.tables import table
 
 #: "Now" of every time-dependent query; operators take it as a parameter.
@@ -45,7 +45,7 @@ def single_rows(spark: SparkSession, root: str, name: str, *columns: str, key: s
     wanted = columns or tuple(rows.columns)
     if repeats.count() > most:
         return rows.select(*wanted, *([key] if key not in wanted else [])).dropDuplicates([key]).select(*wanted)
-    kept = rows.select(*wanted, file.alias("_file"), at.alias("_row")).join(F.broadcast(repeats.toDF("_file", "_row")), ["_file", "_row"], "left_anti")
+    kept = spread(rows.select(*wanted, file.alias("_file"), at.alias("_row"))).join(F.broadcast(repeats.toDF("_file", "_row")), ["_file", "_row"], "left_anti")
     return kept.drop("_file", "_row")
 
 
