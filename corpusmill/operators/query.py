@@ -228,9 +228,9 @@ def hinted_entities(query: Column, indicators: list[Indicator]) -> Column:
         hit = F.lit(False)
         for trigger in indicator.triggers:
             hit = hit | F.contains(low, F.lit(trigger.lower()))
-        one = F.array(F.struct(F.lit(indicator.type).alias("type"), F.lit(indicator.form).alias("form"), F.lit(0.75).alias("confidence")))
-        found.append(F.filter(one, lambda e, hit=hit: hit))
-    both = F.concat(*found, F.transform(years(query).cast("array<string>"), lambda y: F.struct(F.lit("YEAR").alias("type"), y.alias("form"), F.lit(0.85).alias("confidence"))))
+        found.append(F.when(hit, F.struct(F.lit(indicator.type).alias("type"), F.lit(indicator.form).alias("form"), F.lit(0.75).alias("confidence"))))
+    named = F.array_compact(F.array(*found)) if found else F.array().cast("array<struct<type: string, form: string, confidence: double>>")
+    both = F.concat(named, F.transform(years(query).cast("array<string>"), lambda y: F.struct(F.lit("YEAR").alias("type"), y.alias("form"), F.lit(0.85).alias("confidence"))))
     keys = F.transform(both, lambda e: F.concat_ws("|", e["type"], F.lower(e["form"])))
     return F.filter(both, lambda e, i: F.array_position(keys, F.concat_ws("|", e["type"], F.lower(e["form"]))) == i + 1)
 
