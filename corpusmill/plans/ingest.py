@@ -137,7 +137,16 @@ QUERIES = {
     f.__name__: f
     for f in (chunk_fixed_size, validation, quality_gate, boilerplate_strip, paragraph_dedupe, html_extract, page_kinds, link_discovery, frontier_enqueue, frontier_resume, change_detection, late_link_resolution, stuck_recovery, stale_pages, embedding_queue)
 }
+#: A text without its outer white space, as Python sees it.
+_STRIP = "regexp_replace(regexp_replace({x}, '^[\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]+', ''), '[\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]+$', '')"
 SQL = {
+    "chunk_fixed_size": f"""with recursive t as (select doc_id, {_STRIP.format(x='text')} as t from documents where text is not null),
+r as (select doc_id, t, -1::bigint as s, -1::bigint as e, 0::bigint as n from t where t <> '' union all
+select doc_id, t, s, case when last then length(t) when p is not null then p + 2 when b is not null then b else s + 800 end as e, case when last then null when p is not null then p + 2 when b is not null then b + 1 else s + 680 end as n from (
+select doc_id, t, n as s, length(t) - n <= 800 as last, case when regexp_matches(substring(t, n + 202, 601), '\n\n') then n + 201 + length(regexp_extract(substring(t, n + 202, 601), '(?s)^(.*)\n\n', 1)) end as p,
+case when contains(substring(t, n + 202, 600), ' ') then n + 201 + length(regexp_extract(substring(t, n + 202, 600), '(?s)^(.*) ', 1)) end as b from r where n < length(t))),
+c as (select doc_id, s, {_STRIP.format(x='substring(t, s + 1, e - s)')} as text from r where s >= 0)
+select doc_id, row_number() over (partition by doc_id order by s) - 1 as sequence_no, text, length(text) as n_chars from c where text <> ''""",
     "quality_gate": WITH + f""", p as (select id, content_text, list_filter(regexp_split_to_array(content_text, '\\s{{2,}}|\\n+'), lambda p: trim(p) <> '') as parts from pages),
 m as (select id, content_text, coalesce(len(parts), 0) as paragraphs, coalesce(len(list_filter(parts, lambda p: not regexp_matches(p, '{_STAT}') and regexp_matches(lower(p), '{_MARKED}'))), 0) as marked from p)
 select id, paragraphs, marked, case when coalesce(length(trim(content_text)), 0) < 200 then 'TOO_SHORT' when marked > 0.6 * paragraphs then 'BOILERPLATE_ONLY' else 'ACCEPT' end as verdict from m""",

@@ -131,6 +131,7 @@ QUERIES = {
     for f in (url_keys, url_policy, locale_rewrite, collection_names, content_hashes, script_languages, statistical_chunks, display_texts, sanitized, normalized_queries, seed_urls, freshness, confidence_tiers, violation_codes, cleaned_answers)
 }
 SQL = {
+    "cleaned_answers": WITH + f"""select id, case when length(p) >= 15 then p else '-' end as answer from (select id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^\\s*[-*•]\\s*https?://\\S+\\s*$', '', 'g'), '\\[([^\\]]*)\\]\\(https?://[^)]*\\)', '\\1', 'g'), 'https?://\\S+', '', 'g'), {_WS}, ' ', 'g')) as p from chunks)""",
     "url_keys": f"""with u as ({_SQL_URL}), k as (select *, list_filter(string_split(query, '&'), lambda p: p <> '' and lower(split_part(p, '=', 1)) not in ({_TRACK})) as kept from u)
 select target_url, case when host = '' then target_url else lower(scheme) || '://' || host || case when regexp_replace(path, '/$', '') = '' then '/' else regexp_replace(path, '/$', '') end
  || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end end as normalized,
