@@ -173,11 +173,29 @@ def eval_buckets(spark: SparkSession, root: str) -> DataFrame:
     return rows.groupBy(F.col("prompt_version").alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg("right"), 6).alias("intent_accuracy"), F.round(F.avg(f1), 6).alias("entity_f1"))
 
 
+def document_entities(spark: SparkSession, root: str) -> DataFrame:
+    """(id, n, entities): the entities each page's title names, as they are kept with the page; pages without any have none."""
+    found = query.hinted_entities(F.col("title"), INDICATORS)
+    rows = pages(spark, root, "title").select("id", found.alias("found"))
+    return rows.select("id", F.size("found").alias("n"), F.array_join(F.transform("found", lambda e: F.concat_ws(":", e["type"], e["form"], e["confidence"].cast("string"))), "|").alias("entities"))
+
+
+def catalog_warnings(spark: SparkSession, root: str) -> DataFrame:
+    """(view, warning): corpora whose newest parsed page is over 60 minutes older than the newest of all."""
+    from corpusmill.operators.lifecycle import stale_views
+
+    rows = pages(spark, root, "corpus_id", "updated_at", "fetch_status").where("fetch_status = 'parsed' and updated_at is not null")
+    newest = rows.agg(F.max("updated_at").alias("now"))
+    audit = rows.select(F.col("corpus_id").alias("view"), F.col("updated_at").alias("refreshed_at"), F.lit(0).alias("rows"), F.lit(True).alias("ok"))
+    stale = stale_views(audit, F.lit(newest.first()["now"]).cast("timestamp_ntz"), 1.0).where("stale")
+    return stale.select("view", F.concat(F.lit("not refreshed since "), F.date_format("refreshed_at", "yyyy-MM-dd HH:mm:ss")).alias("warning"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         query_pipeline, early_exits, cluster_signals, cluster_best, catalog_labels, static_catalog, page_displays, chunk_excerpts, answer_intros, assembled_answers, topic_candidates, centroid_samples,
-        eval_buckets,
+        eval_buckets, document_entities, catalog_warnings,
     )
 }
 
@@ -213,6 +231,8 @@ _BEST = f"{_TFIDF}, {_Q}, lb as (select cluster, keyword as label from kw where
 _WS = r"'[ \t\n\r\f]+'"
 _BOILER = "(" + " or ".join([f"starts_with({{p}}, '×')", *(f"contains({{p}}, '{m.lower()}')" for m in MARKERS)]) + " or {p} = '')"
 SQL = {
+    "document_entities": WITH + f", e as (select id, {_hints("coalesce(title, '')")} as found from pages) select id, len(found) as n, array_to_string(list_transform(found, lambda e: e.type || ':' || e.form || ':' || e.confidence), '|') as entities from e",
+    "catalog_warnings": WITH + ", v as (select corpus_id as view, max(updated_at) as seen from pages where fetch_status = 'parsed' group by 1 having max(updated_at) is not null) select view, 'not refreshed since ' || strftime(seen, '%Y-%m-%d %H:%M:%S') as warning from v where seen < (select max(seen) from v) - interval 60 minutes",
     "query_pipeline": WITH
     + f", {_WORDS_CTE}), sf as (select {_FIX_SELECT}), fx as (select map(list(word), list(fixed)) as m from sf), {_T}, sp as (select id, array_to_string(list_transform(regexp_extract_all(message, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+'), lambda p: case when regexp_matches(lower(p), '^[a-z]{{4,}}$') then coalesce(m[lower(p)], p) else p end), '') as spelled from t, fx), nm as (select id, spelled, case when {_KA.format(c='spelled')} then trim(regexp_replace(spelled, {_WS}, ' ', 'g')) else lower(trim(regexp_replace(spelled, {_WS}, ' ', 'g'))) end as normalized from sp), en as (select *, {_INTENT.replace('lower(c)', 'lower(spelled)').replace('(c)', '(spelled)')} as intent, {_hints('normalized')} as found, {_EXPANDED} as ex from nm)"
     + f" select id, spelled, normalized, intent, {_DOES} as does, array_to_string(list_transform(found, lambda e: e.type || ':' || e.form || ':' || e.confidence), '|') as entities, case when trim(normalized) = '' then '' else array_to_string(list_filter({_LISTED}, lambda p, i: list_position({_LISTED}, p) = i), ' ') end as retrieval_text from en",

@@ -18,16 +18,23 @@ DIMENSIONS, LEG, LIMIT = 32, 20, 8
 
 def _queries(spark: SparkSession, root: str) -> DataFrame:
     """(query_id, query, locale, vector)."""
-    rows = once(spark, root, "chat_turn", "id", "user_message").where("id % 50 = 0 and trim(user_message) <> ''")
+    rows = once(spark, root, "chat_turn", "id", "user_message").where("id % 50 = 0")
     query = F.col("user_message")
-    return materialize(rows.select(F.col("id").alias("query_id"), query.alias("query"), text.script_language(query).alias("locale"), hash_embedding(query, DIMENSIONS).alias("vector")), "hybrid-queries")
+    return with_vectors(rows.select(F.col("id").alias("query_id"), query.alias("query"), text.script_language(query).alias("locale")))
 
 
-def _points(spark: SparkSession, root: str) -> DataFrame:
-    """(id, document_id, sequence_no, text, url, title, lead, summary, language, citable): every chunk of a known page; a
+def with_vectors(queries: DataFrame) -> DataFrame:
+    """``queries`` (query_id, query, locale) with their vectors; blank ones are left out."""
+    rows = queries.where("trim(query) <> ''").select(F.col("query_id").cast("long").alias("query_id"), "query", "locale", hash_embedding(F.col("query"), DIMENSIONS).alias("vector"))
+    return materialize(rows, "hybrid-queries")
+
+
+def _points(spark: SparkSession, root: str, corpus: int | None = None) -> DataFrame:
+    """Of all corpora, or of one: (id, document_id, sequence_no, text, url, title, lead, summary, language, citable): every chunk of a known page; a
     chunk may be cited if its page is parsed, no navigation and not removed."""
     removed = table(spark, root, "document_deletion", "document_id").distinct().withColumn("removed", F.lit(True))
-    detail = pages(spark, root, F.col("canonical_url").alias("url"), "title", F.col("lead_text").alias("lead"), F.coalesce(text.first_non_blank(F.col("summary_ka"), F.col("summary_en"))).alias("summary"), text.language_code(F.col("language")).alias("language"), "page_kind", "fetch_status")
+    detail = pages(spark, root, "corpus_id", F.col("canonical_url").alias("url"), "title", F.col("lead_text").alias("lead"), F.coalesce(text.first_non_blank(F.col("summary_ka"), F.col("summary_en"))).alias("summary"), text.language_code(F.col("language")).alias("language"), "page_kind", "fetch_status")
+    detail = (detail if corpus is None else detail.where(F.col("corpus_id") == corpus)).drop("corpus_id")
     detail = detail.withColumnRenamed("id", "document_id").join(removed, "document_id", "left")
     citable = (F.col("fetch_status") == "parsed") & (F.coalesce("page_kind", F.lit("unknown")) != "navigation") & F.col("removed").isNull()
     rows = chunks(spark, root, "document_id", "sequence_no", "text").join(detail.withColumn("citable", F.coalesce(citable, F.lit(False))).drop("page_kind", "fetch_status", "removed"), "document_id")
@@ -40,10 +47,11 @@ def _named(points: DataFrame, column: str) -> DataFrame:
 
 
 def _nearest(queries: DataFrame, vectors: DataFrame, most: int = LEG) -> DataFrame:
-    """``vectors`` (id, vector, language) of the query's locale, by cosine."""
+    """``vectors`` (id, vector, language) of the query's locale, or all of them for a query without one, by cosine."""
     out = None
-    for locale in ("ka", "en"):
-        near = retrieval.dense_topk(queries.where(F.col("locale") == locale).select("query_id", "vector"), vectors.where(F.col("language") == locale).select("id", "vector"), most)
+    for locale in ("ka", "en", None):
+        mine, own = queries.where(F.col("locale").eqNullSafe(F.lit(locale))), vectors if locale is None else vectors.where(F.col("language") == locale)
+        near = retrieval.dense_topk(mine.select("query_id", "vector"), own.select("id", "vector"), most)
         out = near if out is None else out.unionByName(near)
     return out
 
@@ -93,6 +101,14 @@ def hybrid_reranked(spark: SparkSession, root: str) -> DataFrame:
     return hybrid.passages_reranked(hybrid.hybrid(_legs(queries, points)), queries, _passages(points), LIMIT)
 
 
+def search(spark: SparkSession, root: str, queries: DataFrame, most: int = LIMIT, corpus: int | None = None) -> DataFrame:
+    """(query_id, id, document_id, url, title, text, score, rank) for ``queries`` (query_id, query, locale or null): the hybrid
+    search of all corpora or one, reranked, at most ``most`` chunks a query."""
+    asked, points = with_vectors(queries), _points(spark, root, corpus)
+    hits = hybrid.passages_reranked(hybrid.hybrid(_legs(asked, points)), asked, _passages(points), most)
+    return hits.join(points.select("id", "document_id", "url", "title", "text"), "id").select("query_id", "id", "document_id", "url", "title", "text", "score", "rank")
+
+
 def hybrid_answer(spark: SparkSession, root: str) -> DataFrame:
     """(query_id, id, mmr, rank): the reranked hits, diversified: what a message is answered with."""
     points = _points(spark, root)

@@ -216,3 +216,19 @@ def test_runs(spark, tmp_path):
     lifecycle.log_events(spark.range(2), str(tmp_path / "log"))
     lifecycle.log_events(spark.range(3), str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 5
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_engine(spark):
+    from corpusmill.api import Engine
+
+    engine = Engine(spark, "/root/testdata/sf0.001")
+    hits = engine.search("milk production", "en-GB", 4).collect()
+    assert 0 < len(hits) <= 4 and sorted(r["rank"] for r in hits) == list(range(1, len(hits) + 1))
+    assert engine.search(" ").count() == 0
+    corpora = engine.corpora().collect()
+    assert len(corpora) == 240 and any(r.advice == "NO_DATA" for r in corpora)
+    one = next(r.corpus_id for r in corpora if r.n_pages)
+    found = {r.document_id for r in engine.search("price", corpus=one).collect()}
+    assert found <= {r.id for r in views.pages(spark, "/root/testdata/sf0.001", "corpus_id").where(F.col("corpus_id") == one).collect()}
+    assert set(engine.catalog()) == {"portals", "links", "keywords"}
