@@ -47,9 +47,10 @@ def _ranks(path: str) -> dict[bytes, int]:
 
 @cache
 def _encoder(path: str):
+    """Merges the bytes of a word that is cut out already: all of it is one piece."""
     import tiktoken
 
-    return tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=_ranks(path), special_tokens={})
+    return tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=_ranks(path), special_tokens={})
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -85,10 +86,9 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
     """(word, word_ids) of the distinct words in ``words`` (word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single, ranks = _encoder(path)._encode_single_piece, _ranks(path)
+        single, ranks = _encoder(path).encode_ordinary, _ranks(path)
         for rows in batches:
-            raw = [word.encode() for word in rows.column(0).to_pylist()]
-            ids = [[ranks[word]] if word in ranks else single(word) for word in raw]
+            ids = [[ranks[raw]] if (raw := word.encode()) in ranks else single(word) for word in rows.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "word_ids"])
 
     return map_batches(words.select("word").distinct(), run, "word string, word_ids array<int>")
