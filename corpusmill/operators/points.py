@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text
 from corpusmill.operators.catalog import first_per_group
 from corpusmill.operators.retrieval import hash_embedding
+from corpusmill.session import materialize
+
+#: Keywords are broadcast up to so many bytes, 100 of them a row; beyond, queries' grams are shuffled.
+KEYWORD_BYTES = 32 << 20
 
 
 def build_points(chunks: DataFrame, documents: DataFrame, dimensions: int = 32) -> DataFrame:
@@ -63,21 +67,39 @@ def pending(documents: DataFrame, ledger: DataFrame, kind: str, version: str) ->
     return documents.join(done.select(F.col("document_id").alias("id")).distinct(), "id", "left_anti")
 
 
-def contained(queries: DataFrame, keywords: DataFrame, gram: int = 3) -> DataFrame:
-    """(query_id, keyword) of ``queries`` (query_id, query) and ``keywords`` (keyword): keywords that the query has as a
-    substring; empty ones are in none. They meet by an equi-join on a keyword's rarest ``gram`` characters in a row, or on
-    all of a shorter one, and only these pairs are compared; so characters that many queries or keywords have join little."""
+def _grams(value: str, size: Column) -> Column:
+    """The distinct runs of ``size`` characters of a column; none in a shorter value."""
+    starts = F.sequence(F.lit(1), F.length(value) - size + 1)
+    return F.when(F.length(value) >= size, F.array_distinct(F.transform(starts, lambda i: F.substring(value, i, size)))).otherwise(F.array().cast("array<string>"))
 
-    def grams(value: str, size) -> Column:
-        starts = F.sequence(F.lit(1), F.length(value) - size + 1)
-        return F.when(F.length(value) >= size, F.array_distinct(F.transform(starts, lambda i: F.substring(value, i, size)))).otherwise(F.array().cast("array<string>"))
 
-    asked = queries.where("query is not null").select("query_id", "query", F.explode(F.concat(*(grams("query", F.lit(n)) for n in range(1, gram + 1)))).alias("gram"))
+def rarest_grams(asked: DataFrame, keywords: DataFrame, gram: int) -> DataFrame:
+    """(keyword, gram) of ``keywords`` (keyword): the ``gram`` characters in a row, or all of a shorter one, that the fewest
+    rows of ``asked`` (gram) have; keywords with one that none has are left out. Neither side is broadcast: Spark takes
+    exploded rows to be no larger than the table they come from."""
     often = asked.groupBy("gram").agg(F.count("*").alias("n"))
     words = keywords.select("keyword").distinct().where("keyword <> ''")
-    own = words.select("keyword", F.explode(grams("keyword", F.least(F.lit(gram), F.length("keyword")))).alias("gram"))
-    rarest = own.join(often, "gram", "left").groupBy("keyword").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0").select("keyword", "r.gram")
-    return asked.join(rarest, "gram").where(F.contains("query", F.col("keyword"))).select("query_id", "keyword").distinct()
+    own = words.select("keyword", F.explode(_grams("keyword", F.least(F.lit(gram), F.length("keyword")))).alias("gram"))
+    rarest = own.join(often.hint("merge"), "gram", "left").groupBy("keyword").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+    return rarest.where("r.n > 0").select("keyword", "r.gram")
+
+
+def contained(queries: DataFrame, keywords: DataFrame, gram: int = 3, most: int = KEYWORD_BYTES) -> DataFrame:
+    """(query_id, keyword) of ``queries`` (query_id, query) and ``keywords`` (keyword): keywords that the query has as a
+    substring; empty ones are in none. They meet by an equi-join on a keyword's rarest ``gram`` characters in a row, or on
+    all of a shorter one, and only these pairs are compared; so characters that many queries or keywords have join little.
+
+    Keywords that some query may have are written out and broadcast, so that queries' grams stay in the task that makes
+    them. If they take more than ``most`` bytes, the grams are shuffled without the texts, which the pairs get afterwards."""
+    queries = queries.where("query is not null").select("query_id", "query")
+    asked = queries.select("*", F.explode(F.concat(*(_grams("query", F.lit(n)) for n in range(1, gram + 1)))).alias("gram"))
+    rarest = materialize(rarest_grams(asked, keywords, gram), "rarest")
+    if rarest.agg(F.coalesce(F.sum(F.octet_length("keyword") + 100), F.lit(0))).first()[0] <= most:
+        pairs = asked.join(F.broadcast(rarest), "gram")
+    else:
+        met = asked.select("query_id", "gram").join(rarest.hint("merge"), "gram").select(F.col("query_id").alias("met_id"), "keyword").distinct()
+        pairs = met.hint("merge").join(queries, F.col("met_id").eqNullSafe(F.col("query_id")))
+    return pairs.where(F.contains("query", F.col("keyword"))).select("query_id", "keyword").distinct()
 
 
 def renamed(labels: DataFrame, renames: DataFrame) -> DataFrame:

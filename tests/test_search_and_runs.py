@@ -86,6 +86,24 @@ def test_contained_against_brute_force(spark):
     assert set(rows(got)) == {(i, w) for i, t in texts if t for w in words if w and w in t}
 
 
+@pytest.mark.parametrize("most", [points.KEYWORD_BYTES, 0])
+def test_contained_never_broadcasts_the_grams_of_queries(spark, most):
+    texts = [(1, "wheat and barley"), (2, "barley"), (2, "rye"), (3, None), (None, "rye bread")]
+    words = ["barley", "ye", "r", "", None, "xyz", *(f"word {i}" for i in range(300))]
+    asked, known = spark.createDataFrame(texts, "query_id long, query string"), spark.createDataFrame([(w,) for w in words], "keyword string")
+    got = points.contained(asked, known, most=most)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and plan.count("BroadcastHashJoin") == (most > 0)  # queries have fewer bytes than keywords
+    assert {tuple(r) for r in got.collect()} == {(q, w) for q, t in texts if t for w in words if w and w in t}
+
+
+def test_rarest_grams_broadcast_nothing(spark):
+    asked = spark.createDataFrame([("abc",), ("abc",), ("bcd",)], "gram string")
+    got = points.rarest_grams(asked, spark.createDataFrame([("abcd",), ("xyz",)], "keyword string"), 3)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in got.collect()] == [("abcd", "bcd")]
+
+
 def test_latest_patch_wins_as_a_whole(spark):
     base = points.build_points(spark.createDataFrame([(1, 7, "x")], "chunk_id long, document_id long, text string"), spark.createDataFrame([(7, "u", "t", "ka", "news", "live", None)], "document_id long, url string, title string, language string, page_kind string, serve_state string, score_boost double"))
     patches = spark.createDataFrame([(7, 1, "dropped", "zzz", 2.0), (7, 2, "partial", None, 0.5)], "document_id long, patched_at int, serve_state string, page_kind string, score_boost double")
