@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -28,6 +28,8 @@ TRAIN_ROWS = 400
 SWITCH = 9.0
 MIN_LINE_LETTERS = 40
 LONGEST_RUN = 100
+#: Distinct runs of characters that a task counts, and characters that it reads, before it passes the counts on.
+RUNS_MOST, CHARACTERS_MOST = 300_000, 32 << 20
 _NEVER = -40.0
 
 # Usual spellings of the language labels, in lower case, without region.
@@ -174,6 +176,30 @@ class WordModel:
         return LANGUAGES[best], total[best] / sum(total)
 
 
+def word_grams(words: Counter) -> Counter:
+    """How often each trigram stands in the words."""
+    grams = Counter()
+    for word, n in words.items():
+        padded = f"^{word.lower()}$"
+        for i in range(len(padded) - 2):
+            grams[padded[i : i + 3]] += n
+    return grams
+
+
+def word_model(grams: dict[str, Counter]) -> WordModel:
+    """The model of counted trigrams of ka, en and de."""
+    every = set().union(*grams.values())
+    size = {lang: sum(g.values()) + 0.5 * (len(every) + 1) for lang, g in grams.items()}
+    logs = {lang: {g: math.log((n + 0.5) / size[lang]) for g, n in own.items()} for lang, own in grams.items()}
+    floor = {lang: math.log(0.5 / s) for lang, s in size.items()}
+    level = min(floor.values())
+    for lang, own in grams.items():
+        if not own:  # never seen, so never likely
+            logs[lang], floor[lang] = {}, level - 2.0
+    table_ = {g: tuple(logs[lang].get(g, floor[lang]) for lang in ("ka", "en", "de")) for g in every}
+    return WordModel(table_, tuple(level if grams[lang] else level - 2.0 for lang in ("ka", "en", "de")))
+
+
 def fit(texts: dict[str, list[str]]) -> WordModel:
     """Trigram models of Latin words: English, German, and Georgian as romanized from Georgian letters.
 
@@ -193,25 +219,145 @@ def fit(texts: dict[str, list[str]]) -> WordModel:
             for line in own:
                 if model is None or model.main(line)[0] in (lang, None):
                     counts[lang].update(w.lower() for w in _TOKEN.findall(_LONG_RUN.sub(" ", line)))
-        grams = {lang: Counter() for lang in counts}
-        for lang, own in counts.items():
-            for word, n in own.items():
-                padded = f"^{word.lower()}$"
-                for i in range(len(padded) - 2):
-                    grams[lang][padded[i : i + 3]] += n
-        every = set().union(*grams.values())
-        size = {lang: sum(g.values()) + 0.5 * (len(every) + 1) for lang, g in grams.items()}
-        logs = {lang: {g: math.log((n + 0.5) / size[lang]) for g, n in own.items()} for lang, own in grams.items()}
-        floor = {lang: math.log(0.5 / s) for lang, s in size.items()}
-        level = min(floor.values())
-        for lang, own in grams.items():
-            if not own:  # never seen, so never likely
-                logs[lang], floor[lang] = {}, level - 2.0
-        table_ = {g: tuple(logs[lang].get(g, floor[lang]) for lang in ("ka", "en", "de")) for g in every}
-        model = WordModel(table_, tuple(level if grams[lang] else level - 2.0 for lang in ("ka", "en", "de")))
+        model = word_model({lang: word_grams(own) for lang, own in counts.items()})
     return model
 
 
+class _Runs:
+    """Distinct runs of non-blank characters with their scores, and how often each stands in lines that a model finds in
+    their row's language."""
+
+    def __init__(self, model: WordModel):
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.rows: list[tuple] = []
+        self.counts = {"en": np.zeros(0, np.int64), "de": np.zeros(0, np.int64)}
+
+    def add(self, run: str) -> int:
+        scored = [s for w in (_TOKEN.findall(run) if len(run) <= LONGEST_RUN else ()) if (s := self.model.scores(w))]
+        self.place[run] = len(self.rows)
+        self.rows.append((*(sum(s[k] for s in scored) for k in range(4)), sum(map(max, scored)), len(scored)))
+        return len(self.rows) - 1
+
+    def count(self, lang: str, texts: list[str]) -> None:
+        """Count the runs of lines in Latin letters; most lines' language is plain from the sums of their runs."""
+        place, add, lines, ids, sizes = self.place, self.add, [], [], []
+        for text in texts:
+            foreign = _GEORGIAN.search(text) is not None
+            for line in text.split("\n"):
+                if _LATIN.search(line) and not (foreign and _GEORGIAN.search(line)):
+                    own = [place[w] if w in place else add(w) for w in line.split()]
+                    lines.append(line)
+                    ids += own
+                    sizes.append(len(own))
+        if not lines:
+            return
+        run, line = np.array(ids, np.int64), np.repeat(np.arange(len(lines)), sizes)
+        known = np.array(self.rows, float)
+        sums = np.stack([np.bincount(line, known[run, k], len(lines)) for k in range(6)], axis=1)
+        best = sums[:, :4].argmax(axis=1)
+        keep = (sums[:, 5] == 0) | (best == LANGUAGES.index(lang))
+        for i in np.flatnonzero((sums[:, 5] > 0) & (sums[:, 4] - sums[:, :4].max(axis=1) > SWITCH)):
+            keep[i] = self.model.main(lines[i])[0] in (lang, None)
+        more = np.bincount(run[keep[line]], minlength=len(self.rows))
+        more[: len(self.counts[lang])] += self.counts[lang]
+        self.counts[lang] = more
+
+    def counted(self) -> Iterator[tuple[str, Counter]]:
+        runs = list(self.place)
+        for lang, n in self.counts.items():
+            yield lang, Counter({runs[i]: int(n[i]) for i in np.flatnonzero(n)})
+
+
+def _words_of_runs(lang: str, runs: Counter) -> Counter:
+    """The words that ``fit`` counts in these runs."""
+    words = Counter()
+    for run, n in runs.items():
+        if lang == "ka":
+            for word in _LETTERS.findall(run):
+                if _GEORGIAN.match(word):
+                    words[romanize(word)] += n
+                    words[romanize(word, True)] += n
+        elif len(run) <= LONGEST_RUN:
+            for word in _TOKEN.findall(run):
+                words[word.lower()] += n
+    return words
+
+
+def count_items(rows: DataFrame, model: WordModel | None = None, extra: Callable[[str, Counter], Counter] | None = None) -> DataFrame:
+    """(lang, kind, item, n) of all labelled ``rows`` (label, text): trigrams (kind 0) of words as ``fit`` counts them in a
+    round, the first or, with ``model``, the second, which German and English rows alone have; and what ``extra`` makes of
+    the counts of all runs of non-blank characters of a language (kind 1). Texts stay where they are."""
+    labelled = rows.select(label_language(F.col("label")).alias("lang"), "text").where("text is not null").where("lang in ('ka', 'en', 'de')" if model is None else "lang in ('en', 'de')")
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        table_ = _Runs(model) if model else None
+        used, left, size = {}, {}, 0
+        columns: list[list] = [[], [], [], []]
+
+        def put(lang: str, kind: int, items: Counter) -> None:
+            for column, values in zip(columns, ([lang] * len(items), [kind] * len(items), items.keys(), items.values()), strict=True):
+                column.extend(values)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, runs in used.items() if table_ is None else table_.counted():
+                put(lang, 0, word_grams(_words_of_runs(lang, runs)))
+            for lang in used if extra else ():
+                put(lang, 1, extra(lang, used[lang] + left[lang]))
+            for a in range(0, len(columns[0]), 20_000):
+                yield batch([("lang", pa.string()), ("kind", pa.int32()), ("item", pa.string()), ("n", pa.int64())], [c[a : a + 20_000] for c in columns])
+            used.clear()
+            left.clear()
+            for column in columns:
+                column.clear()
+            if table_ is not None:
+                table_.clear()
+
+        for rows in batches:
+            by_lang: dict[str, list[str]] = {}
+            for lang, text in zip(*(column.to_pylist() for column in rows.columns), strict=True):
+                by_lang.setdefault(lang, []).append(text)
+                size += len(text)
+            for lang, texts in by_lang.items():
+                if table_ is not None:
+                    table_.count(lang, texts)
+                    continue
+                own, rest = used.setdefault(lang, Counter()), left.setdefault(lang, Counter())
+                for text in texts:
+                    if lang == "ka" or text.isascii():  # an ASCII line without Latin letters has no words
+                        own.update(text.split())
+                    else:
+                        for line in text.split("\n"):
+                            (own if _LATIN.search(line) and not _GEORGIAN.search(line) else rest).update(line.split())
+            if size > CHARACTERS_MOST or sum(map(len, (*used.values(), *left.values()))) + (len(table_.rows) if table_ else 0) > RUNS_MOST:
+                yield from flush()
+                size = 0
+        yield from flush()
+
+    return map_batches(labelled, run, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+
+
+def grams_of(counted: DataFrame) -> dict[str, Counter]:
+    """The trigrams of ``count_items`` by language: as many as the letters of the corpus make."""
+    grams = {"ka": Counter(), "en": Counter(), "de": Counter()}
+    for rows in counted.where("kind = 0").select("lang", "item", "n").toArrow().to_batches():
+        for lang, item, n in zip(*(column.to_pylist() for column in rows.columns), strict=True):
+            grams[lang][item] = n
+    return grams
+
+
+def fit_all(rows: DataFrame, first: DataFrame | None = None) -> WordModel:
+    """What ``fit`` makes of all labelled ``rows`` (label, text); ``first``: the counts of the first round, if they are there."""
+    grams = grams_of(count_items(rows) if first is None else first)
+    model = word_model(grams)
+    return word_model({"ka": grams["ka"]} | {lang: own for lang, own in grams_of(count_items(rows, model)).items() if lang != "ka"})
+
+
 def training_texts(rows: DataFrame, rows_each: int = TRAIN_ROWS) -> dict[str, list[str]]:
     """Texts of ``rows`` (id, label, text) by language: of each about ``rows_each`` labelled rows, the same at every run."""
     labelled = rows.select("id", label_language(F.col("label")).alias("lang"), "text").where("lang in ('ka', 'en', 'de') and text is not null")
